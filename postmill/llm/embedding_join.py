@@ -32,8 +32,6 @@ def _place(pivots, radius: float, with_copies: bool):
         known = pivots.value
         for batch in batches:
             label = batch.column(1).to_numpy()
-            values = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
-            values = values / np.linalg.norm(values, axis=1, keepdims=True)
             rows, cells, home, far = [], [], [], []
             for one in np.unique(label):
                 at = np.flatnonzero(label == one)
@@ -41,7 +39,9 @@ def _place(pivots, radius: float, with_copies: bool):
                     found = (at, np.zeros(len(at), np.int64), np.ones(len(at), bool), np.zeros(len(at)))
                 else:
                     centres, reach = known[one]
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * values[at] @ centres.T))
+                    values = np.asarray(batch.column(2).take(pa.array(at)).flatten(), np.float64).reshape(len(at), -1)
+                    values = values / np.linalg.norm(values, axis=1, keepdims=True)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * values @ centres.T))
                     own = apart.argmin(1)
                     best = apart[np.arange(len(at)), own]
                     if with_copies:
