@@ -36,7 +36,8 @@ def strip_tags(x: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
     t = F.regexp_replace(t, r"(?i)<br\b[^>]*>|</(p|div|tr|li|h[1-6]|table|ul|ol)\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ ]*\n[ ]*", "\n"), r"\n{2,}", "\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ ]*\n[ ]*", "\n"), r"\n{2,}", "\n")
+    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 
 
 def html_to_text(x: Column) -> Column:
@@ -46,7 +47,7 @@ def html_to_text(x: Column) -> Column:
 def visible_body(x: Column) -> Column:
     """The text before the first header of quoted mail."""
     quote = r"(?im)^\s*(-{2,}\s*(original message|исходное сообщение|пересылаемое сообщение)|from:|от:|.{0,80}(wrote|написал\(а\)|пишет):\s*$)"
-    return F.trim(F.try_element_at(F.split(F.coalesce(x, F.lit("")), quote, 2), F.lit(1)))
+    return F.regexp_replace(F.try_element_at(F.split(F.coalesce(x, F.lit("")), quote, 2), F.lit(1)), r"^\s+|\s+$", "")
 
 
 def quote_markers(x: Column) -> Column:
