@@ -1,8 +1,9 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by minimum parents and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.llm.scratch import materialize
@@ -12,23 +13,19 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is the smallest node reachable.
 
     Self-links are ignored, repeated and reversed links count once; a null end drops the link. No links: an empty table.
-    Each round hooks larger neighbours to the smallest one (large star), then smaller ones (small star); the rounds
-    are logarithmic in the number of nodes. Stars keep no group whole in memory: per node only a minimum is built,
-    with partial aggregation, and the join back may be split by adaptive skew handling.
+    Links point from the larger to the smaller node. In a round each node takes its smallest neighbour as parent, its
+    other neighbours are linked to that parent instead, and every link then jumps to its end's own parent. It ends when
+    all links are stars; the rounds are logarithmic in the length of paths. Repeated links are dropped with partial
+    aggregation first, so that a node is never in one task with more rows than it has distinct smaller neighbours; the
+    joins on parents, where one of them may be very common, are plain equi-joins that adaptive execution may split.
     """
-    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = materialize(spark, links, "links")
-    before = None
+    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("open"))
     while True:
-        mark = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+        lowest = links.select("u", "v").distinct().withColumn("p", F.min("v").over(W.partitionBy("u")))
+        parents = lowest.where("v = p").select(F.col("u").alias("y"), F.col("p").alias("q"))
+        moved = lowest.select(F.when(F.col("v") == F.col("p"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("p").alias("y"), (F.col("v") != F.col("p")).alias("moved"))
+        jumped = moved.join(parents, "y", "left").select("u", F.coalesce("q", "y").alias("v"), (F.col("moved") | F.col("q").isNotNull()).alias("open"))
+        links = materialize(spark, jumped, "links")
+        if links.where("open").isEmpty():
             break
-        before = mark
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
-        small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select("u", F.col("m").alias("v")))
-        links = materialize(spark, small.distinct(), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", F.col("v").alias("component")).distinct())

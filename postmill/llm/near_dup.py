@@ -4,9 +4,10 @@ Each permutation is evaluated once a shingle and yields two signature values, it
 permutations give 240 values, cut into 48 bands of 5 values of distinct permutations: a pair at Jaccard 0.75 shares no
 band with probability (1 - 0.75^5)^48, about 2 in a million. Candidates are confirmed on full shingle sets.
 
-Skew: exact copies (same set) collapse first, with partial aggregation; in a band bucket only the links to one hub are
-tested (a star, never all pairs), again for other hubs while buckets with several components are large; buckets that then
-still hold several components are finished exactly, pair by pair between components, so that no cap drops a link.
+Skew: exact copies (same set) collapse first, with partial aggregation; in a band bucket the members are compared with
+one hub (a star, never all pairs). Buckets whose members are then in one component are settled. In the others, members
+outside the lowest component are compared with all members of other components: as pair rows in small buckets, in large
+ones as pairs of blocks, compared inside a task, which emit only links. So no cap or sample drops a link.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,10 @@ from postmill.llm.word_sets import keys, mix, shingle_sets
 
 PERMUTATIONS, ROWS = 120, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Orders in which a bucket's hub is the smallest id: ids xor these numbers.
-HUBS = (0, -1, 0x2545F4914F6CDD1D)
-#: Mean number of pairs a member up to which unsettled buckets are finished pair by pair, without another hub.
-PAIRS_EACH = 8
+#: Members up to which an unsettled bucket is finished as pair rows, at most this many a member; larger ones as blocks.
+PAIRS = 16
+#: Members of a block, on average: a task compares two blocks, whatever the size of the bucket.
+BLOCK = 256
 _TIMES, _FLIP = keys(PERMUTATIONS, 11)[:, None], keys(PERMUTATIONS, 12)[:, None]
 _BAND, _PICK = keys(BANDS, 13)[:, None], keys(ROWS, 14)
 
@@ -75,6 +77,33 @@ def _confirmed(percent: int):
     return run
 
 
+def _links_of_blocks(percent: int):
+    """Links between the left and the right rows of a group that are in different components, one a row and component."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in part["members"]]
+        ids, groups, left = part["id"].to_numpy(), part["c"].to_numpy(), part["left"].to_numpy()
+        tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sizes = np.array([len(s) for s in sets])
+        ends = np.cumsum(sizes)
+        right = np.flatnonzero(~left)
+        owned = np.concatenate([tokens[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else tokens[:0]
+        starts = np.cumsum(sizes[right]) - sizes[right]
+        mark = np.zeros(len(tokens), np.int32)
+        out: list[tuple[int, int]] = []
+        for k in np.flatnonzero(left) if len(right) else ():
+            mine = tokens[ends[k] - sizes[k] : ends[k]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[owned], starts)
+            mark[mine] = 0
+            hit = (100 * common >= percent * (sizes[k] + sizes[right] - common)) & (groups[right] != groups[k])
+            found = right[hit]
+            out += [(min(ids[k], ids[f]), max(ids[k], ids[f])) for f in found[np.unique(groups[found], return_index=True)[1]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -87,14 +116,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(spark, texts.mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>"), "signatures")
-    real = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
+    plain = F.col("id").isNull() | (F.col("n") == 0)
+    real = rows.where(~plain)
     classes = real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    member = materialize(spark, real.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).select("id", "n", "rep"), "members")
-    again = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    same = member.join(again.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a < b")
-    linked = classes.select(F.col("rep").alias("id"), "f1", "f2", "n").join(real, ["id", "f1", "f2", "n"]).select("id", "n", F.explode("bands").alias("key"))
-    shared = linked.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    buckets = materialize(spark, linked.select("key", "id").join(shared, "key"), "buckets")
+    member = real.join(classes, ["f1", "f2", "n"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands"))
+    member = materialize(spark, member, "members")
+    links = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # ids with several texts
+    links = None if links.isEmpty() else member.join(links.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a < b")
+    keyed = member.where("bands is not null").select("id", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    buckets = materialize(spark, keyed.join(shared, "key").select("key", "id", "hub"), "buckets")
     ids = materialize(spark, buckets.select("id").distinct(), "candidates")
     members = materialize(spark, texts.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(_sets, "id long, n long, members binary"), "sets")
 
@@ -102,48 +133,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         x = members.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
         y = members.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
         near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        sized = pairs.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b").where(near).select("a", "b")
-        both = sized.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
-
-    links, tested, groups = same, None, None
-    for step in range(len(HUBS) + 1):
-        if groups is None:
-            open_rows = buckets.withColumn("c", F.col("id"))
-        else:
-            now = buckets.join(groups, buckets.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-            parted = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            open_rows = materialize(spark, now.join(parted, "key"), "open")
-        sizes = open_rows.groupBy("key").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-        if not sizes[0]:
-            break
-        last = step == len(HUBS) or (step > 0 and sizes[1] <= PAIRS_EACH * sizes[0])
-        if not last:
-            seed = F.lit(HUBS[step]).cast("long")
-            hubs = open_rows.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(seed)).alias("hub")).select("key", F.col("hub").bitwiseXOR(seed).alias("hub"))
-            if groups is None:
-                hubs = hubs.withColumn("hc", F.col("hub"))
-            else:
-                hubs = hubs.join(groups, hubs.hub == groups.node, "left").select("key", "hub", F.coalesce("component", "hub").alias("hc"))
-            pairs = open_rows.join(hubs, "key").where("c <> hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            other = open_rows.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = open_rows.join(other, "key").where("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(spark, pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = materialize(spark, links.union(confirm(pairs)), "confirmed")
-        groups = connected_components(spark, links)
-        if last:
-            break
-    if groups is None:
-        groups = connected_components(spark, links)
-    tops = member.join(groups, member.rep == groups.node, "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("top"))
-    out = rows.select("id", "n").join(tops, "id", "left")
-    component = F.when(F.col("top") < F.col("id"), F.col("top")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+        both = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "x", "y")
+        return both.mapInArrow(_confirmed(percent), "a long, b long")
+
+    def settle(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        found = confirm(pairs)
+        return materialize(spark, found if links is None else links.union(found), "confirmed")
+
+    links = settle(links, buckets.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    groups = connected_components(spark, links)
+    now = buckets.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    lowest = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").drop("hi")
+    unsettled = materialize(spark, now.join(lowest, "key"), "unsettled")
+    few, many = unsettled.where(F.col("size") <= PAIRS), unsettled.where(F.col("size") > PAIRS)
+    other = few.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
+    pairs = few.where("c <> lo").join(other, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    parts = many.groupBy("key").agg(F.ceil(F.count_if(F.col("c") != F.col("lo")) / BLOCK).alias("nb"), F.ceil(F.count("*") / BLOCK).alias("nc"))
+    cut = many.join(parts, "key").join(members, "id")
+    slot = F.xxhash64("id")
+    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = cut.where("c <> lo").select("key", F.pmod(slot, F.col("nb")).alias("i"), across("nc").alias("j"), "id", "c", "members", F.lit(True).alias("left"))
+    right = cut.select("key", across("nb").alias("i"), F.pmod(slot, F.col("nc")).alias("j"), "id", "c", "members", F.lit(False).alias("left"))
+    blocks = left.union(right).groupBy("key", "i", "j").applyInPandas(_links_of_blocks(percent), "a long, b long")
+    more = settle(blocks, pairs)
+    if not more.isEmpty():
+        groups = connected_components(spark, links.union(more))
+    linked = member.join(groups, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
+    out = linked.union(rows.where(plain).select("id", "n", F.col("id").alias("c")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

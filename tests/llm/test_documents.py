@@ -49,8 +49,9 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got.values())
 
 
-def test_near_duplicates_without_hubs_settle_every_bucket(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "PAIRS_EACH", 0)
+def test_near_duplicates_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PAIRS", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
     texts = {i: t for i, t in corpus().items() if i < 95}
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, texts)).collect()}
     assert got == near_groups(texts)
