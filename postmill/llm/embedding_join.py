@@ -4,6 +4,7 @@ Unit vectors under Euclidean distance are a metric: cosine >= c means distance <
 same label, partition the vectors into cells by nearest pivot. If x lies in cell i and y in cell j within r of x, the
 triangle inequality gives d(x, p_j) <= d(y, p_j) + r <= d(y, p_i) + r <= d(x, p_i) + 2r, and d(x, p_j) <= radius_j + r;
 x is replicated to just the cells that meet both bounds. Each cell then joins on its own, as blocks of bounded size.
+Equal vectors of a label are one class with a weight before that, so a vector with a third of all rows is one row of a cell.
 """
 
 from __future__ import annotations
@@ -55,18 +56,18 @@ def _place(pivots, radius: float, with_copies: bool):
                     into.append(what)
             if rows:
                 taken = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken), pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(home)), pa.array(np.concatenate(far))], ["id", "label", "v", "cell", "home", "far"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken), pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(home)), pa.array(np.concatenate(far)), batch.column(3).take(taken)], ["id", "label", "v", "cell", "home", "far", "weight"])
 
     return run
 
 
 def _links_of_block(cosine: float):
-    """Per block pair: each row's links from home rows to the other side, and a spanning star of each local component."""
+    """Per block pair: each row's links (by weight) from home rows to the other side, and a spanning star of each local component."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(part["v"].to_numpy()).astype(np.float64)
         values /= np.linalg.norm(values, axis=1, keepdims=True)
-        ids, left = part["id"].to_numpy(), part["left"].to_numpy()
+        ids, left, weight = part["id"].to_numpy(), part["left"].to_numpy(), part["weight"].to_numpy()
         one, two = np.flatnonzero(left), np.flatnonzero(~left)
         best = np.arange(len(part))  # position of the smallest id linked so far
         order = np.argsort(ids, kind="stable")
@@ -78,7 +79,7 @@ def _links_of_block(cosine: float):
             rows = one[k : k + 512]
             hit = values[rows] @ values[two].T >= cosine
             hit &= ids[rows][:, None] != ids[two][None, :]
-            count[rows] = hit.sum(1)
+            count[rows] = hit @ weight[two]
             r, c = np.nonzero(hit)
             near.append((rows[r].astype(np.int32), two[c].astype(np.int32)))
         u, v = (np.concatenate(x) for x in zip(*near)) if near else (np.zeros(0, np.int32),) * 2
@@ -120,7 +121,12 @@ def similar_embeddings(spark: SparkSession, vectors: DataFrame, cosine: float =
     if not again.isEmpty():
         first = spaces.join(again, "id").groupBy("id").agg(F.min(F.struct("v", "label")).alias("s")).select("id", "s.label", "s.v")
         spaces = spaces.join(again, "id", "left_anti").unionByName(first)
-    spaces = materialize(spark, spaces, "vectors")
+        spaces = materialize(spark, spaces, "first-of-id")
+    spaces = spaces.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    same = ["label", "h1", "h2"]
+    again = materialize(spark, spaces.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("weight")).where("weight > 1"), "equal")
+    classes = spaces.join(broadcast_if_small(again), same, "left").where("rep is null or rep = id")
+    spaces, copies = materialize(spark, classes.select("id", "label", "v", F.coalesce("weight", F.lit(1)).alias("weight")), "vectors"), spaces.select("id", *same)
     sizes = materialize(spark, spaces.groupBy("label").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     cell = max(CELL, -(-total // MAX_PIVOTS))
@@ -132,7 +138,7 @@ def similar_embeddings(spark: SparkSession, vectors: DataFrame, cosine: float =
         known.setdefault(row.label, []).append(row.v)
     known = {k: np.array(v, np.float64) for k, v in known.items()}
     known = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in known.items()}
-    shape = "id long, label long, v array<double>, cell long, home boolean, far double"
+    shape = "id long, label long, v array<double>, cell long, home boolean, far double, weight long"
     plain = spark.sparkContext.broadcast({k: (v, np.zeros(len(v))) for k, v in known.items()})
     reach = spaces.where(F.col("label").isin(*known) if len(known) <= 100 else F.lit(True)).mapInArrow(_place(plain, radius, False), shape).groupBy("label", "cell").agg(F.max("far").alias("far"))
     wide = {k: (v, np.zeros(len(v))) for k, v in known.items()}
@@ -142,12 +148,16 @@ def similar_embeddings(spark: SparkSession, vectors: DataFrame, cosine: float =
     counts = placed.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("nb"), F.ceil(F.count("*") / BLOCK).alias("nc")).where("nb > 0")
     cut = placed.join(broadcast_if_small(materialize(spark, counts, "blocks")), ["label", "cell"])
     slice_of = F.xxhash64("id", F.lit(7))
-    left = cut.where("home").select("label", "cell", F.pmod(slice_of, F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("c"), "id", "v", F.lit(True).alias("left"))
-    right = cut.select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(slice_of, F.col("nc")).alias("c"), "id", "v", F.lit(False).alias("left"))
+    left = cut.where("home").select("label", "cell", F.pmod(slice_of, F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("c"), "id", "v", "weight", F.lit(True).alias("left"))
+    right = cut.select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(slice_of, F.col("nc")).alias("c"), "id", "v", "weight", F.lit(False).alias("left"))
     found = left.union(right).groupBy("label", "cell", "b", "c").applyInPandas(_links_of_block(cosine), "id long, root long, n long")
     found = materialize(spark, found, "links")
     totals = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = connected_components(spark, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = all_rows.select("id").join(totals, "id", "left").join(groups, F.col("id") == groups.node, "left")
+    linked = materialize(spark, totals.join(groups, F.col("id") == F.col("node"), "full").select(F.coalesce("id", "node").alias("id"), "n", "component"), "linked")
+    known_links = again.join(linked, F.col("rep") == F.col("id"), "left").select(*same, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+    equal = copies.join(broadcast_if_small(materialize(spark, known_links, "equal-linked")), same).select("id", "n", "component")
+    single = linked.join(again.select(F.col("rep").alias("id")), "id", "left_anti")
+    out = all_rows.select("id").join(single.union(equal), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

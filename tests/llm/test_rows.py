@@ -41,6 +41,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, cell, block):
         rows.append((i, [float(x) for x in (hot * draw.uniform(0.5, 2)).astype(np.float32)], 1))
         i += 1
     rows += [(i + 1, None, 1), (i + 2, [0.0] * 8, 1), (i + 3, [1.0, None] + [0.0] * 6, 1), (i + 4, [float("nan")] * 8, 1), (i + 5, rows[0][1], None), (i + 6, [1.0, 2.0], 1), (i + 7, [float("inf")] + [0.0] * 7, 0), (i + 8, [2.0, 4.0], 1)]
+    rows += [(i + 20 + k, rows[k % 3][1], rows[k % 3][2]) for k in range(40)]  # equal vectors
     links, top = brute_vectors(rows, 0.98)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1)).withColumn("cell", F.lit(2)).withColumn("v", F.lit(3))
     got = {r.vec_id: r for r in embedding_join.similar_embeddings(spark, df.repartition(3)).collect()}
