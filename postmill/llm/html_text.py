@@ -80,7 +80,7 @@ def train(table=LABELLED):
     return grow(table[:, :-1], table[:, -1])
 
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["'][^"']*display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
@@ -153,9 +153,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
                     del stack[k:]
-                    region, silent = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+                    around, silent = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+                    if around != region:
+                        flush()
+                    region = around
                     break
             if name in HEADINGS:
                 heading = 0
@@ -183,10 +185,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
             links += 1
         heading = int(name in HEADINGS) or (heading if name not in BLOCKS else 0)
         inside = _region(name, rest, region)
-        if name in BLOCKS or name in SILENT or inside != region:
+        hidden = bool(rest and _HIDDEN.search(rest))
+        if name in BLOCKS or name in SILENT or inside != region or hidden:
             if inside != region:
                 flush()
-            silent = int(bool(silent) or name in SILENT or bool(rest and _HIDDEN.search(rest)))
+            silent = int(bool(silent) or name in SILENT or hidden)
             region = inside
             stack.append((name, region, silent))
     flush()

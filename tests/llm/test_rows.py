@@ -144,6 +144,8 @@ def test_html(spark):
     plain = "<div><a href=1>Home</a> <a href=2>About</a></div><div>" + "word " * 40 + "</div><p>Brief.</p><p>" + "more " * 40 + "&lt;end&gt;</p>"
     assert html_text.main_text(plain, tree) == ("word " * 40).strip() + "\nBrief.\n" + ("more " * 40) + "<end>"
     assert html_text.main_text("", tree) == "" and html_text.main_text("just text", tree) == "just text"
+    odd = "<article><p title=it's>one <span style='display: none'>no</span> two</p><p>a<i hidden>x</i>b <a href='x>y'>link</a> c</p></article>"
+    assert html_text.main_text(odd, tree) == "one two\nab link c"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "u", ""), (3, "u", "<article>" + "<p>x y</p>" * 20_000), (4, "u", "<article><p>cut off &am"), (5, "u", "<script>never closed")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
     got = {r.page_id: r for r in html_text.extract_pages(spark, df).collect()}
