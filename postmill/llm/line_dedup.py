@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from postmill.llm.scratch import broadcast_if_small, materialize
 
 WINDOW = 3
+#: Line numbers, and ROW_NUMBERS more a document, up to which the table of cuts is broadcast: some 30 MB.
+BROADCAST_NUMBERS, ROW_NUMBERS = 4_000_000, 8
 
 
 def lines_of(text: Column) -> Column:
@@ -51,7 +53,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     n_lines or n_removed are replaced. An empty table gives an empty table.
     """
     cut = materialize(spark, repeated_lines(spark, docs, id_col, text_col), "cuts")
-    few = broadcast_if_small(cut, 100_000)  # a document's line numbers a row
+    n = cut.agg(F.sum(F.size("lines") + F.lit(ROW_NUMBERS))).first()[0] or 0
+    few = F.broadcast(cut) if n <= BROADCAST_NUMBERS else cut  # else a shuffled join
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*kept_columns).alias("row")).join(few.select(F.col("id").alias("cut_id"), "lines"), F.col(f"row.{id_col}") == F.col("cut_id"), "left")
     lines = lines_of(F.col(f"row.{text_col}"))
