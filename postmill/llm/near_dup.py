@@ -118,13 +118,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = materialize(spark, texts.mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>"), "signatures")
     plain = F.col("id").isNull() | (F.col("n") == 0)
     real = rows.where(~plain)
-    classes = real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    member = real.join(classes, ["f1", "f2", "n"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands"))
+    # tables of keys are written first: the join then reads both sides straight from a shuffle, which adaptive execution can split
+    classes = real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").drop("top")
+    classes = broadcast_if_small(materialize(spark, classes, "classes"))
+    rep = F.coalesce("rep", "id")
+    member = real.join(classes, ["f1", "f2", "n"], "left").select("id", "n", rep.alias("rep"), F.when(F.col("id") == rep, F.col("bands")).alias("bands"))
     member = materialize(spark, member, "members")
     links = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # ids with several texts
     links = None if links.isEmpty() else member.join(links.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a < b")
     keyed = member.where("bands is not null").select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    shared = broadcast_if_small(materialize(spark, shared, "shared"))
     buckets = materialize(spark, keyed.join(shared, "key").select("key", "id", "hub"), "buckets")
     ids = materialize(spark, buckets.select("id").distinct(), "candidates")
     members = materialize(spark, texts.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(_sets, "id long, n long, members binary"), "sets")
@@ -144,11 +148,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     groups = connected_components(spark, links)
     now = buckets.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     lowest = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").drop("hi")
+    lowest = broadcast_if_small(materialize(spark, lowest, "lowest"))
     unsettled = materialize(spark, now.join(lowest, "key"), "unsettled")
     few, many = unsettled.where(F.col("size") <= PAIRS), unsettled.where(F.col("size") > PAIRS)
     other = few.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
     pairs = few.where("c <> lo").join(other, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     parts = many.groupBy("key").agg(F.ceil(F.count_if(F.col("c") != F.col("lo")) / BLOCK).alias("nb"), F.ceil(F.count("*") / BLOCK).alias("nc"))
+    parts = broadcast_if_small(materialize(spark, parts, "parts"))
     cut = many.join(parts, "key").join(members, "id")
     slot = F.xxhash64("id")
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
