@@ -54,3 +54,10 @@ def uid_state(spark, sf_dir):
 @query()
 def stream_sessions(spark, sf_dir):
     return _collected(spark, flows.sessions(_events(spark, sf_dir), "user_id", "6 hours"))
+
+
+@query("""WITH w AS (SELECT unnest(range(0, 24)) AS k), e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR * (k + 1) AS until FROM events, w)
+SELECT strftime(until, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS n FROM e GROUP BY 1""")
+def stream_trailing(spark, sf_dir):
+    out = _collected(spark, flows.trailing(_events(spark, sf_dir), "24 hours", "1 hour"))
+    return out.select(F.col("until").cast("string").alias("until"), "n")
