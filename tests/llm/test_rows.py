@@ -184,10 +184,20 @@ def test_revisits(spark):
     got = revisits.resolve_revisits(df).collect()
     assert len(got) == 12
     by = {r.record_id: r for r in got}
-    assert {k: (r.status, r.response_id) for k, r in by.items() if k != 2} == {3: ("resolved", 1), 4: ("resolved", 2), 5: ("mismatch", 2), 6: ("mismatch", 2), 7: ("resolved", 2), 8: ("no_validator", 2), 9: ("no_response", None), 10: ("no_response", None), 11: ("no_response", None), 13: ("no_response", None)}
+    assert {k: (r.status, r.response_id) for k, r in by.items()} == {2: ("resolved", 2), 3: ("resolved", 1), 4: ("resolved", 2), 5: ("mismatch", 2), 6: ("mismatch", 2), 7: ("resolved", 2), 8: ("no_validator", 2), 9: ("no_response", None), 10: ("no_response", None), 11: ("no_response", None), 13: ("no_response", None)}
     assert by[3].headers == {"etag": '"e1"', "content-type": "text/html", "age": "7", "date": "now"} and by[3].payload_digest == "p1"
     assert by[4].headers == {"content-length": "9"} and by[5].headers is None
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
     hot = [(k, "response" if k % 50 == 0 else "revisit", "http://h.org/", at(k), '"x"', None, None, "p") for k in range(500)]
     late = {r.record_id: r.response_id for r in revisits.resolve_revisits(spark.createDataFrame(hot, RECORD)).collect()}
     assert late == {k: k // 50 * 50 for k in range(500) if k % 50}
+
+
+def test_revisits_of_one_url_in_one_second(spark):
+    hot = [(k, "response" if k % 70 == 3 else "revisit", "http://h.org/", at(0), '"x"', None, None, "p") for k in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many blocks of the one second
+    try:
+        got = {r.record_id: r.response_id for r in revisits.resolve_revisits(spark.createDataFrame(hot, RECORD)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: (k - 3) // 70 * 70 + 3 if k >= 3 else None for k in range(400) if k % 70 != 3}
