@@ -28,6 +28,8 @@ OUTSIDE = frozenset("nav aside footer form menu dialog".split())
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
 INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article content entry main post story".split())
+#: Elements that a word of INSIDE_WORDS makes a main region; a heading, figure or inline element is none.
+CONTAINERS = frozenset("article center div main section table tbody td tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Labelled blocks: region (0 unknown, 1 main, 2 outside), page has a main region, heading, words, link density, words and
@@ -41,10 +43,22 @@ _PLAIN = [
     (0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 3, 1.0, 70, 0.0, 70, 0.0, 0), (0, 12, 0.7, 1, 1.0, 9, 0.0, 0),
     (0, 30, 0.6, 9, 0.0, 9, 0.0, 0), (1, 3, 1.0, 1, 1.0, 1, 1.0, 0), (0, 60, 0.8, 70, 0.0, 1, 1.0, 0), (0, 9, 0.5, 70, 0.0, 9, 0.0, 0),
 ]
+_LINKED = [(heading, words, dense, *before, *after, 0) for heading, words, dense in ((0, 2, 1.0), (0, 6, 1.0), (0, 30, 0.6), (0, 60, 0.8), (1, 6, 1.0)) for before in _NEAR for after in _NEAR]
+#: On a page with a main region, blocks of unknown region: long and link-free ones are text, as are short ones between
+#: two long ones and headings before a long one; other short ones and link-dense ones are not.
+_BESIDE = [
+    *((0, words, dense, *before, *after, 1) for words, dense in ((18, 0.0), (25, 0.1), (60, 0.0), (200, 0.2)) for before, after in zip(_NEAR, _NEAR[::-1])),
+    *((0, words, 0.0, *near, *near, 1) for words in (18, 60) for near in _NEAR),
+    *((0, words, 0.0, 70, 0.0, 70, 0.0, 1) for words in (2, 6, 12)), *((1, 6, 0.0, *near, 70, 0.0, 1) for near in _NEAR),
+    *((0, words, 0.0, *before, *after, 0) for words in (2, 6, 12) for before in _NEAR for after in _NEAR if before[0] < 70 or after[0] < 70),
+    *((1, 6, 0.0, *before, *after, 0) for before in _NEAR for after in _NEAR[:3]),
+    *_LINKED,
+]
 LABELLED = [
-    *((region, 1, heading, words, dense, *before, *after, int(region == 1)) for region in (0, 1, 2) for heading, words, dense in ((0, 2, 0.0), (0, 60, 0.0), (0, 6, 1.0), (1, 6, 0.0)) for before, after in zip(_NEAR, _NEAR[::-1])),
+    *((region, 1, heading, words, dense, *before, *after, int(region == 1)) for region in (1, 2) for heading, words, dense in ((0, 2, 0.0), (0, 60, 0.0), (0, 6, 1.0), (1, 6, 0.0)) for before, after in zip(_NEAR, _NEAR[::-1])),
     *((2, 0, heading, words, dense, *near, *near, 0) for heading, words, dense in ((0, 2, 0.0), (0, 60, 0.0), (0, 6, 1.0), (1, 6, 0.0)) for near in _NEAR),
-    *((0, 0, *row) for row in _PLAIN),
+    *((0, 1, *row) for row in _BESIDE),
+    *((0, 0, *row) for row in _PLAIN + _LINKED),
 ]
 
 
@@ -77,7 +91,7 @@ def decide(tree, row) -> bool:
 
 def train(table=LABELLED):
     table = np.array(table, float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(table[:, :-1], table[:, -1], 8)
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
@@ -103,7 +117,7 @@ def _region(name: str, rest: str, now: int) -> int:
             words.update(re.split(r"[^a-z0-9]+", m[1].strip("\"'").lower()))
     if words & OUTSIDE_WORDS - ({"header"} if now == 1 else set()):
         return 2
-    return 1 if words & INSIDE_WORDS else now
+    return 1 if words & INSIDE_WORDS and name in CONTAINERS else now
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
