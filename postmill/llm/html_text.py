@@ -23,7 +23,7 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Regions that hold no main text, by element, and by a word of class, id or role; and regions that do.
+#: Regions that hold no main text, by element, and of other blocks by a word of class, id or role; and regions that do.
 OUTSIDE = frozenset("nav aside footer form menu dialog".split())
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
 INSIDE = frozenset("article main".split())
@@ -95,28 +95,66 @@ def train(table=LABELLED):
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["'][^"']*display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?""")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_FORM = re.compile(r"</?form\b", re.I)
+_PAGE_PART = re.compile(r"<(?:article|main|nav|header|footer|h1)\b", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
-def _region(name: str, rest: str, now: int) -> int:
-    """The region of an element inside region ``now``: 2 outside the main text, 1 main, 0 unknown. What is outside stays so."""
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; of a repeated one the first, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value.strip(value[0]) if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _hidden(has: dict[str, str]) -> bool:
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown = _DISPLAY.findall(has.get("style", "").lower())
+    shown = [d for d in shown if d[1]] or shown
+    return bool(shown) and shown[-1][0] == "none"
+
+
+def _words(has: dict[str, str]) -> set[str]:
+    """Words of class, id and role; those after has-, with-, no- or without- say nothing of the element."""
+    out: set[str] = set()
+    for name in " ".join(has.get(k, "") for k in ("class", "id", "role")).lower().split():
+        for word in re.split(r"[^a-z0-9]+", name):
+            if word in ("has", "with", "no", "without"):
+                break
+            out.add(word)
+    return out
+
+
+def _page_wide(page: str, at: int) -> bool:
+    """Whether the form that begins before ``at`` wraps the page: it holds parts of a page, or half of what there is."""
+    end = _FORM.search(page, at)
+    stop = end.start() if end else len(page)
+    return 2 * (stop - at) >= len(page) or bool(_PAGE_PART.search(page, at, stop))
+
+
+def _region(name: str, has: dict[str, str], now: int) -> int:
+    """The region of an element inside region ``now``: 2 outside the main text, 1 main, 0 unknown; 3 outside by a word of its names.
+
+    Region 2 stays so; in region 3 an article or main region that has no such word itself is main again.
+    """
     if now == 2 or name in OUTSIDE:
         return 2
     if name == "header" and now != 1:
         return 2
-    if name in INSIDE:
-        return 1
-    if name in ("html", "body"):
+    words = _words(has) if has else set()
+    closed = words & OUTSIDE_WORDS - ({"header"} if now == 1 else set())
+    if name in INSIDE or has.get("role", "").strip().lower() in INSIDE:
+        return 3 if now == 3 and closed else 1
+    if now == 3 or name in ("html", "body"):
         return now
-    words: set[str] = set()
-    if rest and ("class" in rest or "id" in rest or "role" in rest or "CLASS" in rest or "ID" in rest):
-        for m in _NAMES.finditer(rest):
-            words.update(re.split(r"[^a-z0-9]+", m[1].strip("\"'").lower()))
-    if words & OUTSIDE_WORDS - ({"header"} if now == 1 else set()):
-        return 2
+    if closed and name in BLOCKS and name not in HEADINGS:
+        return 3
     return 1 if words & INSIDE_WORDS and name in CONTAINERS else now
 
 
@@ -198,8 +236,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
         if name == "a":
             links += 1
         heading = int(name in HEADINGS) or (heading if name not in BLOCKS else 0)
-        inside = _region(name, rest, region)
-        hidden = bool(rest and _HIDDEN.search(rest))
+        has = _attributes(rest) if rest else {}
+        inside = region if name == "form" and region != 2 and _page_wide(page, at) else _region(name, has, region)
+        hidden = bool(has) and _hidden(has)
         if name in BLOCKS or name in SILENT or inside != region or hidden:
             if inside != region:
                 flush()
@@ -210,17 +249,23 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def main_text(page: str, tree) -> str:
-    """The kept blocks in page order, joined by one newline."""
-    blocks = blocks_of(page)
-    has_main = int(any(b[1] == 1 for b in blocks))
+def _kept(blocks: list[tuple[str, int, int, float]], tree, by_name: int) -> list[str]:
+    """The blocks that the tree keeps, where region 3 counts as ``by_name``."""
+    regions = [by_name if b[1] == 3 else b[1] for b in blocks]
+    has_main = int(1 in regions)
     words = [0, *(b[0].count(" ") + 1 for b in blocks), 0]
     density = [0.0, *(b[3] for b in blocks), 0.0]
     kept = []
-    for k, (text, region, heading, _) in enumerate(blocks, 1):
-        if decide(tree, (region, has_main, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1])):
+    for k, (text, _, heading, _) in enumerate(blocks, 1):
+        if decide(tree, (regions[k - 1], has_main, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1])):
             kept.append(text)
-    return "\n".join(kept)
+    return kept
+
+
+def main_text(page: str, tree) -> str:
+    """The kept blocks in page order, joined by one newline. Names of elements close nothing where no text were left."""
+    blocks = blocks_of(page)
+    return "\n".join(_kept(blocks, tree, 2) or _kept(blocks, tree, 0))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

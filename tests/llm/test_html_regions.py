@@ -34,3 +34,44 @@ def test_long_text_beside_a_named_block_stays(page):
 def test_short_and_linked_blocks_beside_a_main_region_go():
     page = f'<body><div>Sign in</div><div><a href="/a">one two three four</a></div><div class="content"><p>{LONG}</p><p>Brief.</p></div><div>Made here</div></body>'
     assert text(page) == f"{LONG}\nBrief."
+
+
+ARTICLE = f"<article><h1>T</h1><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="page has-sidebar">{ARTICLE}</div></body>',
+        f'<body><div class="layout with-ads"><p>{LONG}</p></div></body>',
+        f'<body><div class="layout sidebar-left">{ARTICLE}</div></body>',
+        f'<body><div class="layout sidebar-left"><h1>T</h1><p>{LONG}</p></div></body>',
+        f'<body><div class="page ad-free"><div role="main"><p>{LONG}</p></div></div></body>',
+        f'<body><form id="aspnetForm"><input name="a">{ARTICLE}</form></body>',
+        f'<body><form id="aspnetForm"><div id="content"><p>{LONG}</p></div></form></body>',
+        f'<article><h1 class="page-header">T</h1><p>{LONG}</p></article>',
+    ],
+)
+def test_wrapper_closes_no_article(page):
+    assert text(page) == (f"T\n{LONG}" if ">T<" in page else LONG)
+
+
+@pytest.mark.parametrize(
+    ("attributes", "shown"),
+    [
+        ('title="The hidden valley road"', True), ('style="overflow: hidden !important"', True), ("data-x='style=\"display:none\"'", True),
+        ('title="aria-hidden=true"', True), ('style="--display: none"', True), ('style="display:none; display:block"', True), ('title="a class=ad"', True),
+        ("hidden", False), ('HIDDEN=""', False), ("class=a hidden", False), ('style="color:red; DISPLAY : none"', False), ("style='display:none!important;display:block'", False), ("style=display:none", False), ('aria-hidden="true"', False),
+    ],
+)
+def test_hidden_is_read_as_an_attribute(attributes, shown):
+    assert text(f"<article><p>a b <span {attributes}>c</span> d</p><p {attributes}>{LONG}</p></article>") == (f"a b c d\n{LONG}" if shown else "a b d")
+
+
+def test_words_of_inline_elements_cut_nothing():
+    assert text(f'<article><p>A <span class="search">word</span> of <a class="share" href="/x">it</a> {LONG}</p></article>') == f"A word of it {LONG}"
+
+
+def test_outside_stays_outside():
+    page = f'<body><nav><article>{LONG}</article></nav>{ARTICLE}<div class="comments"><article class="comment"><p>{LONG}</p></article></div><form><label>Mail</label></form><div class="ad">{LONG}</div></body>'
+    assert text(page) == f"T\n{LONG}"
