@@ -23,10 +23,10 @@ def _events(spark, sf_dir):
     return flows.stream(spark, f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _collected(spark, rows, mode="complete"):
+def _collected(spark, rows):
     """The last result of a stream, through a Parquet folder that each batch replaces."""
     folder = flows.work_folder(spark)
-    flows.run_once(rows, f"{folder}/checkpoint", lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), mode)
+    flows.run_once(rows, f"{folder}/checkpoint", lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), "complete")
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -48,7 +48,9 @@ def stream_dedup(spark, sf_dir):
 def uid_state(spark, sf_dir):
     outcome = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "retry").otherwise("fail")
     log = _events(spark, sf_dir).select(F.col("user_id").alias("uid"), "event_id", outcome.alias("outcome"))
-    return _collected(spark, flows.fetch_states(log), "update")
+    folder = flows.work_folder(spark)
+    flows.ingest(log, f"{folder}/out", f"{folder}/checkpoint", ["uid", "event_id", "outcome"])
+    return flows.states_of(spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 @query()

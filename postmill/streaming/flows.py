@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,11 +68,35 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
 def fetch_states(log: DataFrame) -> DataFrame:
     """(uid, attempts, status, last_event) after each batch from a log of (uid, event_id, outcome): fail, retry, skip or ok.
 
-    The events of one uid in one batch are its retries since the last trigger, a handful; they are replayed in order.
+    The events of one uid in one batch are its retries since the last trigger, a handful; they are replayed in order, and
+    event_id rises from batch to batch: a lower one is a replay. For logs in any order and of any length: ``states_of``.
     """
     return log.groupBy("uid").applyInPandasWithState(_advance, "uid long, attempts long, status string, last_event long", "attempts long, status string, last long", "update", GroupStateTimeout.NoTimeout)
 
 
+def states_of(log: DataFrame) -> DataFrame:
+    """(uid, attempts, status, last_event) after a whole log of (uid, event_id, outcome), whatever the order of its rows.
+
+    Rows that repeat a uid and event_id are one event; of several outcomes the lowest counts. Events without an id change
+    nothing. The log is cut into even ranges of event_id, so that no task has all events of a frequent uid; a uid has one
+    row a range after that.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, out = F.col("event_id"), F.col("outcome")
+    log = log.groupBy("uid", "event_id").agg(F.min("outcome").alias("outcome")).repartitionByRange(parts, "event_id").withColumn("range", F.spark_partition_id())
+    log = log.withColumn("ok", F.max(F.when(out == "ok", at)).over(Window.partitionBy("uid", "range")))
+    ranges = log.groupBy("uid", "range").agg(
+        F.count_if((out == "fail") & at.isNotNull() & (F.col("ok").isNull() | (at > F.col("ok")))).alias("fails"), F.max("ok").alias("ok"), F.max(at).alias("last"),
+        F.max(F.when(out.isin("fail", "skip", "ok") & at.isNotNull(), F.struct(at.alias("at"), out.alias("to")))).alias("set"), F.max(F.when(out == "retry", at)).alias("retry"),
+    )
+    ends = ranges.groupBy("uid").agg(F.collect_list(F.struct("range", "fails")).alias("fails"), F.max(F.when(F.col("ok").isNotNull(), F.col("range"))).alias("since"), F.max("last").alias("last"), F.max("set").alias("set"), F.max("retry").alias("retry"))
+    attempts = F.aggregate(F.filter("fails", lambda r: r["range"] >= F.coalesce("since", F.lit(-1))), F.lit(0).cast("long"), lambda n, r: n + r["fails"])
+    n, to = F.col("attempts"), F.col("set.to")
+    status = F.when(to.isNull(), "new").when(to == "ok", "fetched").when(to == "skip", "skipped").when(n >= DEAD, "dead").when(n < QUARANTINE, "failed")
+    status = status.when(F.col("retry") > F.col("set.at"), "retry_pending").otherwise("quarantined")
+    return ends.withColumn("attempts", attempts).select(F.col("uid").cast("long").alias("uid"), "attempts", status.alias("status"), F.coalesce("last", F.lit(-1)).cast("long").alias("last_event"))
+
+
 def run_once(rows: DataFrame, checkpoint: str, sink, mode: str = "append") -> None:
     """Run a stream over all that is there now; ``sink`` gets each batch and its number, and must be idempotent by number."""
     rows.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
