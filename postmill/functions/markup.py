@@ -54,9 +54,10 @@ def quote_markers(x: Column) -> Column:
     return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"(?im)^\s*(from:|от:|>|.{0,80}(wrote|написал\(а\)|пишет):)"))
 
 
-def links(x: Column, most: int = 20) -> Column:
-    """The first distinct http links of a text, in order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"https?://[^\s\"'<>]+"), 0)), 1, most)
+def links(x: Column, most: int | None = 20) -> Column:
+    """The first distinct http links of a text, in order; with ``most`` None all of them."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"https?://[^\s\"'<>]+"), 0))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def table_rows(x: Column) -> Column:

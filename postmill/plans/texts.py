@@ -57,7 +57,7 @@ def first_match_rules(spark, sf_dir):
 
 @query(r"""SELECT page_id, list_distinct(regexp_extract_all(concat(url, ' ', html), 'https?://[^\s"''<>]+')) AS l FROM pages""".replace("list_distinct(", "len(list_distinct(").replace(") AS l", ")) AS n_links"))
 def links_extract(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(M.links(F.concat_ws(" ", "url", "html"), 1000)).cast("long").alias("n_links"))
+    return read(spark, sf_dir, "pages").select("page_id", F.size(M.links(F.concat_ws(" ", "url", "html"), None)).cast("long").alias("n_links"))
 
 
 @query()
