@@ -46,7 +46,8 @@ def _item_grams(make) -> Column:
 def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item): every document and item with at least ``percent`` of the item's distinct shingles in the document.
 
-    ``percent`` under 75 lowers the recall of the sketch. Null and wordless texts and null ids match nothing.
+    ``percent`` under 75 lowers the recall of the sketch. Null and wordless texts and null ids match nothing. Of an item
+    with several texts each is an item of its own.
     """
     known = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words")).where("item is not null and size(words) > 0")
     known = known.select("item", F.least(F.size("words"), F.lit(SHINGLE)).alias("gram"), _item_grams(_hash).alias("hashes"), _item_grams(_text).alias("grams"))
@@ -65,7 +66,7 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, p
     for more in hashes[1:]:
         held = held.union(more)
     hits = held.join(broadcast_if_small(sketch), "h").select("id", "item", "needed", "slots", "h").distinct()
-    candidates = materialize(spark, hits.groupBy("id", "item").agg(F.sum("slots").alias("slots"), F.first("needed").alias("needed")).where("slots >= needed").select("id", "item"), "candidates")
+    candidates = materialize(spark, hits.groupBy("id", "item").agg(F.sum("slots").alias("slots"), F.min("needed").alias("needed")).where("slots >= needed").select("id", "item"), "candidates")
     found = texts.join(broadcast_if_small(candidates), "id").select("id", "item", words_of(F.col("text")).alias("words"))
     exact = found.join(broadcast_if_small(known, 20_000), "item")
     mine = _grams("words", SHINGLE, _text)
