@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.scratch import broadcast_if_small, materialize
+from postmill.llm.scratch import broadcast_if_small, materialize, text_key
 
 SHINGLE, MINIMA, NEEDED = 5, 24, 3
 
@@ -90,6 +90,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, percen
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; columns as before."""
-    gone = materialize(spark, contaminated_pairs(spark, docs, items).select(F.col("id").alias("doc_id")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text holds an item; columns as before.
+
+    A text is judged by itself: another text under the same id changes nothing, rows that repeat a text go or stay
+    together, and rows with a null id are judged like others. Null and wordless texts stay. An empty table gives an empty
+    table; without items all rows stay.
+    """
+    keyed = docs.select(F.struct(*text_key(F.col("text"))).alias("key"), "text")
+    gone = contaminated_pairs(spark, keyed, items, id_col="key").select("id.*").distinct()
+    gone = broadcast_if_small(materialize(spark, gone, "gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *text_key(F.col("text")))
+    return rows.join(gone, ["t1", "t2"], "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.components import connected_components
-from postmill.llm.scratch import broadcast_if_small, materialize, small_batches
+from postmill.llm.scratch import broadcast_if_small, materialize, small_batches, text_key
 from postmill.llm.word_sets import keys, mix, shingle_sets
 
 PERMUTATIONS, ROWS = 120, 5
@@ -170,6 +170,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; columns as before."""
-    gone = materialize(spark, near_duplicates(spark, docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each group of near-duplicates; columns as before.
+
+    A document is an id with a text; of a group the one with the smallest (doc_id, text key) stays. Rows that repeat both
+    are one document and stay or go together; an id with several texts is several documents, each judged by its own text.
+    Rows with a null id and texts without words stay. An empty table gives an empty table.
+    """
+    keyed = docs.select("doc_id", *text_key(F.col("text")), "text")
+    key = F.struct("t1", "t2")
+    several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("doc_id")
+    several = materialize(spark, several, "several")
+    if several.isEmpty():
+        gone = materialize(spark, near_duplicates(spark, docs).where("not kept").select("doc_id").distinct(), "gone")
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    # each text of an id with several gets a number of its own, below all ids
+    low = keyed.agg(F.min(F.col("doc_id").cast("long"))).first()[0]
+    texts = materialize(spark, keyed.join(broadcast_if_small(several), "doc_id").select("doc_id", "t1", "t2").distinct(), "texts")
+    texts = materialize(spark, texts.withColumn("node", low - 1 - F.monotonically_increasing_id()), "nodes")
+    numbered = keyed.join(broadcast_if_small(texts), ["doc_id", "t1", "t2"], "left").withColumn("node", F.coalesce("node", F.col("doc_id").cast("long")))
+    groups = near_duplicates(spark, numbered.select("node", "text"), id_col="node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("c")).where("node is not null").distinct()
+    groups = materialize(spark, groups, "groups")
+    mixed = groups.groupBy("c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("c")
+    nodes = materialize(spark, groups.join(broadcast_if_small(materialize(spark, mixed, "mixed")), "c"), "mixed-nodes")
+    named = numbered.join(broadcast_if_small(nodes), "node").select("c", F.struct("doc_id", "t1", "t2").alias("d"))
+    named = materialize(spark, named.distinct(), "named")
+    first = named.groupBy("c").agg(F.min("d").alias("first"))
+    gone = materialize(spark, named.join(first, "c").where("d <> first").select("d.*"), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *text_key(F.col("text")))
+    return rows.join(broadcast_if_small(gone), ["doc_id", "t1", "t2"], "left_anti").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast: at most some 30 MB.
@@ -36,6 +36,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches of whole texts small: even 256 texts of 100 KB are then 25 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Bound Arrow batches of whole texts by bytes, where the session sets no bound of its own; a longer text is a batch of its own.
+
+    The bound stays set, as results are computed after the operator returns; it changes no rows, only how many go to Python at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes, named t1 and t2, that stand for a whole text; null and empty texts have keys, too."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
