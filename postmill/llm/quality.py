@@ -1,9 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
 Hashed features of a text, its words, neighbouring word pairs (the xor of two word hashes, so a repeated word always
-falls into one bucket) and byte n-grams of 2 to 4, have learned vectors; a document is the average of its vectors, and a
-softmax over two classes reads it. Training is stochastic gradient descent in numpy on a bounded sample of labelled rows.
-As the output is linear in the average, scoring needs one number a bucket, its vector times the difference of the two
+falls into one bucket) and character n-grams of 2 to 4 code points, have learned vectors; a document is the average of its
+vectors, and a softmax over two classes reads it. Training is stochastic gradient descent in numpy on a bounded sample of
+labelled rows, in an order that only their ids and texts decide, so partitions change no score. As the output is linear in the average, scoring needs one number a bucket, its vector times the difference of the two
 class weights; whole texts are then scored by looking those numbers up.
 """
 
@@ -35,20 +35,29 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield ((words * _SALT[0]) >> _SHIFT).astype(np.int32), bounds
     pairs = ((words[1:] ^ words[:-1]) * _SALT[1] + _SALT[2]) >> _SHIFT
     yield _inner(pairs.astype(np.int32), bounds, 1)
-    wide = data.astype(np.uint32)
+    points, offsets = _code_points(data, offsets)
     for n in (2, 3, 4):
-        if len(data) < n:
+        if len(points) < n:
             yield np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
             continue
-        code = wide[: len(data) - n + 1].copy()
+        code = points[: len(points) - n + 1] + np.uint32(n)
         for k in range(1, n):
-            code = (code << np.uint32(8)) | wide[k : len(data) - n + 1 + k]
-        code = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
+            code *= np.uint32(0x01000193)
+            code ^= points[k : len(points) - n + 1 + k]
+        code *= np.uint32(0x9E3779B1)
         code ^= code >> np.uint32(15)
         code *= np.uint32(0x85EBCA6B)
         yield _inner((code >> np.uint32(32 - BITS)).astype(np.int32), offsets, n - 1)
 
 
+def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the offsets of the texts counted in them."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    if len(points) == len(data):
+        return points, offsets
+    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+
+
 def _inner(codes: np.ndarray, bounds: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray]:
     """Without the features that reach from one text into the next; those get bucket -1 and no count."""
     if len(codes):
@@ -73,17 +82,18 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = features(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _, _ in found], pa.binary()), pa.array([c.tobytes() for _, c, _ in found], pa.binary())], ["label", "buckets", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _, _ in found], pa.binary()), pa.array([c.tobytes() for _, c, _ in found], pa.binary()), batch.column(2), batch.column(3)], ["label", "buckets", "counts", "at", "id"])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, step: float = STEP, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Learn the vectors and the softmax from (label, buckets, counts); gives one number a bucket and the bias of label 1.
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, step: float = STEP, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Learn the vectors, the softmax and its biases from (label, buckets, counts), in the order given and drawn by ``seed``.
 
-    Without rows of both classes there is nothing to tell apart: all weights are 0 and the bias is the only class.
+    Without rows of both classes there is nothing to tell apart: all vectors are 0 and the biases name the only class.
     """
     labels = {label for label, _, _ in rows}
     if len(labels) < 2:
-        return np.zeros(1 << BITS, np.float32), {frozenset(): 0.0, frozenset({0}): -5.0, frozenset({1}): 5.0}[frozenset(labels)]
+        lean = {frozenset(): 0.0, frozenset({0}): -5.0, frozenset({1}): 5.0}[frozenset(labels)]
+        return np.zeros((1 << BITS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 2), np.float32), np.array([0, lean], np.float32)
     draw = np.random.default_rng(seed)
     vectors = draw.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
     out = draw.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
@@ -105,6 +115,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, st
             out -= np.float32(0.2 * rate) * np.outer(mean, p)
             bias -= np.float32(0.02 * rate) * p
             vectors[buckets] -= np.float32(step * 0.02 * rate) * scale[i] * np.outer(share, back)
+    return vectors, out, bias
+
+
+def folded(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """One number a bucket, and the bias of label 1: with two classes the softmax needs only the difference of the logits."""
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -129,16 +144,19 @@ def held_out(id_column: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias from a bounded sample: at most ``per_class`` labelled documents of either class.
 
-    Ids that are labelled twice count with their smallest label; labels other than 0 and 1, and null ones, are left out.
+    Ids that are labelled twice count with their smallest label; of an id with several texts the smallest text is learnt
+    from; labels other than 0 and 1, and null ones, are left out. The sample is learnt in the order of the hash of its ids.
     """
     small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("label", "text")
-    found = rows.mapInArrow(_featured, "label int, buckets binary, counts binary").limit(4 * per_class).collect()  # bounded by the sample
-    return fit([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in found])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text", F.xxhash64("id").alias("at"), "id")
+    found = rows.mapInArrow(_featured, "label int, buckets binary, counts binary, at long, id long").collect()  # at most 2 * per_class rows
+    found.sort(key=lambda r: (r["at"], r["id"]))
+    return folded(*fit([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in found]))
 
 
 def _scored(model):
@@ -164,7 +182,11 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as before."""
+    """The rows of ``docs`` that the classifier accepts, all columns as before.
+
+    Null and empty texts are judged by the biases alone; repeated rows, null ids and very long texts are judged like
+    others, and columns that ``docs`` has more pass through. An empty table gives an empty table.
+    """
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
     small_batches(spark)
 

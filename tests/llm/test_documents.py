@@ -120,6 +120,20 @@ def test_lines_edge_rows(spark):
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_under_one_id_are_cut_and_dropped_by_themselves(spark):
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb\nc"), (2, "p\nq\nr\ns"), (2, "p\nq\nr\ns")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "a\nb\nc"), (2, "p\nq\nr\ns"), (2, "p\nq\nr\ns"), (2, "x")]
+    own, other, third = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f"
+    rows = [(1, own, 0), (2, own, 1), (2, other, 2), (2, other, 3), (5, other, 4), (None, own, 5), (6, None, 6), (6, "", 7), (4, own, 8), (4, third, 9), (3, third, 10), (3, own, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t1 int").repartition(3)
+    kept = sorted(r.t1 for r in near_dup.drop_near_duplicates(spark, docs).collect())
+    assert kept == [0, 2, 3, 5, 6, 7, 10]
+    items = spark.createDataFrame([(1, other)], "item_id long, text string")
+    kept = sorted(r.t1 for r in decontaminate.drop_contaminated(spark, docs, items).collect())
+    assert kept == [0, 1, 5, 6, 7, 8, 9, 10, 11]
+
+
 def test_stage_drops_emptied_documents_and_counts_characters(spark):
     texts = {1: "a\nb\nc\nd", 2: "a\nb\nc", 3: "x\na\nb\nc", 4: "", 5: None}
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.drop_repeated_lines(spark, frame(spark, texts)).collect()}
@@ -190,6 +204,35 @@ def test_quality_on_held_out_rows(spark):
     assert docs.count() == queries.op4_quality(spark, sf).count()
 
 
+def test_quality_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.union(docs.where("doc_id < 20").withColumn("text", F.concat(F.lit("zz "), "text")))  # ids with a second text
+    one = sorted(tuple(r) for r in quality.score_quality(spark, docs.repartition(7, F.xxhash64("text")), labels.repartition(3)).collect())
+    other = sorted(tuple(r) for r in quality.score_quality(spark, docs.coalesce(1).orderBy(F.desc("doc_id")), labels.coalesce(1)).collect())
+    assert one == other
+
+
+def test_quality_scores_equal_average_then_softmax():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    texts = ["", "a", "žluťoučký kůň 🙂🙂", "a b", " \n ", "ž"] + [some_text(draw, draw.randrange(1, 60)) for _ in range(20)]
+    found = quality.features(pa.array(texts))
+    model = quality.fit([(k % 2, b, c) for k, (b, c, _) in enumerate(found)], epochs=2)
+    got = quality.scores(pa.array(texts), *quality.folded(*model))
+    vectors, out, bias = (x.astype(np.float64) for x in model)
+    for k, (buckets, counts, n) in enumerate(found):
+        mean = (counts[:, None] * vectors[buckets]).sum(0) / max(1, n)
+        p = np.exp(mean @ out + bias)
+        assert abs(p[1] / p.sum() - got[k]) < 1e-5
+    alone = [quality.features(pa.array([t]))[0] for t in texts]  # a batch does not mix its texts
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2] == b[2] for a, b in zip(alone, found))
+    words = texts[2].split()
+    assert found[2][2] == len(words) + len(words) - 1 + sum(len(texts[2]) - n + 1 for n in (2, 3, 4))  # code points, not bytes
+
+
 def test_quality_edge_rows(spark):
     rows = [(1, "good words here"), (1, "good words here"), (None, "x"), (2, None), (3, ""), (4, "junk | " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("z")).withColumn("id", F.lit(0))
