@@ -1,8 +1,12 @@
-"""URL filter: explicit host and path rules first, then gradient-boosted trees on lexical features."""
+"""URL filter: explicit host and path rules first, then gradient-boosted trees on lexical features.
+
+The features are columns, but for entropy, which is one pass over the bytes of an Arrow batch. The labelled URLs are made
+up from the fixed values below, as no table labels URLs: both classes have hosts with and without hyphens, digits and
+subdomains, paths of numbers and of words, and parameters, so that no feature tells the classes apart by itself.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,56 +14,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled URLs are made from these fixed values: 1 (block) for the first two lists, 0 (allow) for the others.
-BLOCK_NAMES = ["mega-casino", "bets-now", "pills-4-less", "link-farm", "ad-server", "xxx-cams", "win-cash-now", "hot-deals-4u", "best-loan-24", "slots-vip-77", "quick-meds", "track-click", "pop-ads-net", "poker-bonus", "get-rich-fast", "seo-links-777", "bet-365-odds", "crypto-double", "lucky-spin88", "date-tonight"]
-BLOCK_PATHS = ["/en/2210.html", "/de/51", "/go?aff=991&sub=3&clk=8a7f", "/win/?bonus=500&id=77&utm_source=feed", "/en/12#top", "/fr/77/", "/offer/8812/click?cid=55aa&pid=9", "/x?page=2&ref=x"]
-ALLOW_NAMES = ["newsroom", "library", "orchard", "sailing", "gardenclub", "university", "museum", "weather", "recipes", "thought", "historyblog", "cityhall", "lantern", "riverside", "science", "musicschool", "localpaper", "travelnotes", "healthinfo", "openmaps"]
-ALLOW_PATHS = ["/en/3120?utm_source=feed", "/de/77#top", "/en/14.html", "/fr/48", "/es/78/", "/articles/2021/spring-garden", "/en/88?page=2&ref=x", "/about", "/"]
-SUFFIXES = ["example.com", "example.net", "example.org"]
-FRONTS = ["", "www.", "m.", "blog."]
+from postmill.llm.scratch import small_batches
+from postmill.llm.word_sets import buffers
+
+#: Fixed values of the labelled URLs: parts of host names, by label (1: block), and forms of hosts, paths and suffixes with
+#: their shares. In a form, w is a part of a name, s a word of a path, n a number, k a short number and x a hexadecimal run.
+PARTS = {
+    1: "casino bet slots bonus poker pills meds cheap loan cash win lucky deals free offer click track ads pop cams date replica crypto spin jackpot fast rich promo".split(),
+    0: "news library garden sailing club college museum weather recipe history city music travel health maps science river school paper notes open north book farm bike cook radio forum".split(),
+}
+WORDS = "spring garden council budget report winter festival bridge opening guide reading letters history water harbour evening market lesson summer review".split()
+HOSTS = {
+    1: [("w-w", 35), ("w-w-w", 10), ("w-w-k", 10), ("wwk", 15), ("xx", 10), ("ww", 10), ("w.w-w", 10)],
+    0: [("w", 22), ("ww", 27), ("w-w", 16), ("w-w-w", 10), ("w.ww", 10), ("wk", 5), ("w-k", 5), ("ww.w", 5)],
+}
+FRONTS = [("", 55), ("www.", 20), ("m.", 12), ("blog.", 13)]
+PATHS = {
+    "numbers": [("/s/n.html", 20), ("/s/n", 20), ("/s/n/", 15), ("/s/n?page=k&ref=s", 20), ("/s/n?utm_source=s", 15), ("/s/n#s", 10)],
+    "tracking": [("/s?aff=n&sub=k&clk=xx", 40), ("/s/n/s?cid=xx&pid=k&src=s&z=n", 40), ("/?bonus=n&id=k&u=xx&r=n", 20)],
+    "words": [("/s/s-s-s", 30), ("/s/n/s-s", 15), ("/s", 15), ("/", 15), ("/s/s/s.html", 15), ("/s?q=s", 10)],
+}
+#: Shares of the kinds of paths by label and by whether the host has a hyphen.
+KINDS = {
+    (1, True): [("numbers", 77), ("tracking", 20), ("words", 3)], (1, False): [("tracking", 80), ("numbers", 10), ("words", 10)],
+    (0, True): [("words", 90), ("numbers", 7), ("tracking", 3)], (0, False): [("numbers", 55), ("words", 40), ("tracking", 5)],
+}
+SUFFIXES = {
+    1: [("example.com", 25), ("example.net", 20), ("example.org", 20), ("top", 12), ("click", 8), ("com", 10), ("info", 5)],
+    0: [("example.com", 25), ("example.net", 20), ("example.org", 20), ("org", 15), ("edu", 5), ("com", 10), ("info", 5)],
+}
+URLS_PER_LABEL, URLS_PER_HOST = 1600, 4
+#: Labelled URLs with the same suffix or domain from which on it has a rate of its own.
+OFTEN = 10 * URLS_PER_HOST
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-_HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)(\??[^#]*)", re.S)
-
+FEATURES = ["length", "host_length", "path_length", "depth", "digits", "host_digits", "path_digits", "parameters", "hyphens", "host_parts", "longest_part", "host_entropy", "entropy", "suffix_rate", "domain_rate"]
 
-def labelled_urls() -> tuple[list[str], np.ndarray]:
-    """A small training table: every name with every path, suffixes and fronts in turn."""
-    urls, labels = [], []
-    for label, names, paths in ((1, BLOCK_NAMES, BLOCK_PATHS), (0, ALLOW_NAMES, ALLOW_PATHS)):
-        for i, name in enumerate(names):
-            for j, path in enumerate(paths):
-                urls.append(f"{('http', 'https')[(i + j) % 2]}://{FRONTS[(i + 3 * j) % 4]}{name}.{SUFFIXES[(i + j) % 3]}{path}")
-                labels.append(label)
-    return urls, np.array(labels, float)
 
+def labelled_urls(seed: int = 5) -> tuple[list[str], np.ndarray]:
+    """A small training table, drawn by ``seed`` from the fixed values: some URLs of each of many hosts."""
+    draw = np.random.default_rng(seed)
 
-def _entropy(text: str) -> float:
-    if not text:
-        return 0.0
-    p = np.array([text.count(c) for c in set(text)]) / len(text)
-    return float(-(p * np.log2(p)).sum())
+    def pick(shares):
+        return shares[int(draw.choice(len(shares), p=np.array([n for _, n in shares]) / sum(n for _, n in shares)))][0]
 
+    def filled(form: str, label: int) -> str:
+        made = {"w": lambda: draw.choice(PARTS[label]), "s": lambda: draw.choice(WORDS), "n": lambda: str(draw.integers(10, 9999)), "k": lambda: str(draw.integers(1, 99)), "x": lambda: f"{draw.integers(1 << 12, 1 << 16):x}"}
+        literal = {"page": "page", "ref": "ref", "utm_source": "utm_source", "aff": "aff", "sub": "sub", "clk": "clk", "cid": "cid", "pid": "pid", "src": "src", "bonus": "bonus", "html": "html"}
+        out, at = [], 0
+        while at < len(form):
+            name = next((k for k in literal if form.startswith(k, at)), None)
+            out.append(name or (made[form[at]]() if form[at] in made else form[at]))
+            at += len(name or form[at])
+        return "".join(out)
 
-def lexical(url: str | None, suffix_rates: dict[str, float]) -> list[float]:
-    """Length, depth, digit ratio, entropy, parameter counts, host shape and the block rate of the host's suffix."""
-    found = _HOST_PATH.search(url or "")
-    host, path, query = found.groups() if found else ("", "", "")
-    host = host.lower()
-    parts = host.split(".")
-    size = max(1, len(url or ""))
-    suffix = ".".join(parts[-2:])
-    return [len(url or ""), len(host), sum(bool(x) for x in path.split("/")), sum(c.isdigit() for c in url or "") / size, sum(c.isdigit() for c in host) / max(1, len(host)), _entropy(host), _entropy(url or ""), query.count("=") + 0.0, host.count("-") + 0.0, len(parts) + 0.0, max(map(len, parts)) + 0.0, suffix_rates.get(suffix, 0.5)]
+    urls, labels = [], []
+    for label in (1, 0):
+        for _ in range(URLS_PER_LABEL // URLS_PER_HOST):
+            host = f"{pick(FRONTS)}{filled(pick(HOSTS[label]), label)}.{pick(SUFFIXES[label])}"
+            for _ in range(URLS_PER_HOST):
+                path = filled(pick(PATHS[pick(KINDS[label, '-' in host])]), label)
+                urls.append(f"{draw.choice(['http', 'https'])}://{host}{path}")
+                labels.append(label)
+    return urls, np.array(labels, float)
 
 
 class BoostedTrees:
     """Gradient boosting of regression trees on the logistic loss, exact splits, for small training tables."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, leaf: int = 4):
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, leaf: int = 8):
         self.rounds, self.depth, self.rate, self.leaf = rounds, depth, rate, leaf
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         self.trees, margin = [], np.full(len(y), self.base)
+        self.gains = np.zeros(x.shape[1])  # by feature, over all splits
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
             tree = self._grow(x, y - p, p * (1 - p), self.depth)
@@ -85,6 +114,7 @@ class BoostedTrees:
         if best[1] is None:
             return value
         low = x[:, best[1]] <= best[2]
+        self.gains[best[1]] += best[0]
         return best[1], best[2], self._grow(x[low], g[low], h[low], depth - 1), self._grow(x[~low], g[~low], h[~low], depth - 1)
 
     def _apply(self, tree, x):
@@ -100,17 +130,62 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.base + self.rate * sum(self._apply(t, x) for t in self.trees))))
 
 
-def train(urls: Sequence[str], labels: np.ndarray) -> tuple[BoostedTrees, dict[str, float]]:
-    """The trees and the smoothed block rate of each host suffix seen in training."""
+def lexical(url: Column) -> tuple[list[Column], list[Column], list[Column]]:
+    """Host, path and query; the features that columns can express, in the order of FEATURES; suffix and domain of the host."""
+    host, path = host_and_path(url)
+    query = F.regexp_extract(url, r"(?s)://[^?#]*\?([^#]*)", 1)
+    digits = lambda x: F.length(x) - F.length(F.translate(x, "0123456789", ""))
+    parts = F.split(F.col("host"), r"\.")
+    ratio = lambda x: F.when(F.length(x) > 0, digits(x) / F.length(x)).otherwise(0.0)
+    numbers = [
+        F.length(url), F.length("host"), F.length("path"), F.size(F.array_remove(F.split("path", "/"), "")), ratio(url), ratio(F.col("host")), ratio(F.col("path")),
+        F.length("query") - F.length(F.translate("query", "=", "")), F.length("host") - F.length(F.translate("host", "-", "")), F.size(parts), F.array_max(F.transform(parts, F.length)),
+    ]
+    return [host.alias("host"), path.alias("path"), query.alias("query")], [c.cast("double").alias(n) for c, n in zip(numbers, FEATURES)], [F.element_at(parts, -1).alias("suffix"), F.array_join(F.slice(F.concat(F.array(F.lit("")), parts), -2, 2), ".").alias("domain")]
+
+
+def _described(urls: DataFrame, *more: str) -> DataFrame:
+    """``urls`` (url and ``more``) with host, path, suffix, domain and an array of the features that are columns."""
+    cut, numbers, ends = lexical(F.coalesce("url", F.lit("")))
+    return urls.select(*more, "url", *cut).select(*more, "url", "host", "path", *ends, F.array(*numbers).alias("numbers"))
+
+
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Shannon entropy of each text's bytes; 0 for null and empty ones."""
+    data, offsets = buffers(texts)
+    out = np.zeros(len(texts))
+    for k in range(0, len(texts), 1024):
+        ends = offsets[k : k + 1025]
+        sizes = np.diff(ends)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + data[ends[0] : ends[-1]], minlength=256 * len(sizes)).reshape(-1, 256)
+        share = counts / np.maximum(1, sizes)[:, None]
+        out[k : k + 1024] = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
+    return np.maximum(0, out)
+
+
+def matrix(batch: pa.RecordBatch, rates: dict[str, float]) -> np.ndarray:
+    """The features of a batch of described URLs."""
+    numbers = np.asarray(batch.column("numbers").flatten(), np.float64).reshape(batch.num_rows, -1)
+    ends = [np.array([rates.get(x, 0.5) for x in batch.column(name).to_pylist()], float) for name in ("suffix", "domain")]
+    return np.column_stack([numbers, entropies(batch.column("host")), entropies(batch.column("url")), *ends])
+
+
+def train(spark: SparkSession, urls: Sequence[str], labels) -> tuple[BoostedTrees, dict[str, float]]:
+    """The trees, and the smoothed block rates of suffixes and domains (the two last parts of a host).
+
+    Only ends seen often enough to be shared by many hosts have a rate, or the rate of a host's own domain would give its label away.
+    """
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "at long, url string")
+    found = _described(rows, "at").orderBy("at").toArrow().combine_chunks().to_batches()[0]  # the training table, as long as given
+    labels = np.asarray(labels, float)
     counts: dict[str, list[float]] = {}
-    for url, label in zip(urls, labels):
-        found = _HOST_PATH.search(url)
-        suffix = ".".join((found[1] if found else "").lower().split(".")[-2:])
-        one = counts.setdefault(suffix, [1.0, 2.0])
-        one[0] += label
-        one[1] += 1
-    rates = {k: a / n for k, (a, n) in counts.items()}
-    return BoostedTrees().fit(np.array([lexical(u, rates) for u in urls]), np.asarray(labels, float)), rates
+    for name in ("suffix", "domain"):
+        for end, label in zip(found.column(name).to_pylist(), labels):
+            one = counts.setdefault(end, [1.0, 2.0])
+            one[0] += label
+            one[1] += 1
+    rates = {k: a / n for k, (a, n) in counts.items() if n >= OFTEN}
+    return BoostedTrees().fit(matrix(found, rates), labels), rates
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -133,9 +208,8 @@ def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, rates = model.value
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            score = trees.predict(np.array([lexical(u, rates) for u in urls]).reshape(len(urls), -1)) if urls else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
+            score = trees.predict(matrix(batch, rates)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("page_id", "host", "path", "rule", "verdict")), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
     return run
 
@@ -145,14 +219,15 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, urls: Sequenc
 
     The longest fitting rule decides; else the trees, trained from ``urls`` and ``labels`` (the built-in table if not
     given): block at a score of 0.5 or more. A null, empty or scheme-less url has an empty host and path, no rule, and
-    the trees' verdict on an empty host. Repeated rows and null ids are judged like others; other columns are not read.
+    the trees' verdict on an empty host. Very long urls are read whole; repeated rows and null ids are judged like others;
+    other columns are not read. An empty table gives an empty table.
     """
     if urls is None:
         urls, labels = labelled_urls()
-    model = spark.sparkContext.broadcast(train(urls, labels))  # some kilobytes
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col(url_col).cast("string").alias("url"))
+    model = spark.sparkContext.broadcast(train(spark, urls, labels))  # some kilobytes
+    small_batches(spark)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "url")
+    rows = _described(rows, "page_id").withColumns({"rule": rule, "verdict": verdict})
     judged = rows.mapInArrow(_judge(model), "page_id long, host string, path string, rule string, verdict string, score double")
     return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
