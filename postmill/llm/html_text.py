@@ -1,14 +1,16 @@
 """Main text of web pages: flat text blocks, judged by a small decision tree.
 
-A page is cut into flat blocks at block-level tags. A block's features are its own word count and link density, those of
-its neighbours, and the kind of region and tag that it stands in; a decision tree, trained on the small labelled table
-below, keeps or drops it.
+A page is cut into flat blocks at block-level tags. Elements and plain names for menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments are left out; of all other blocks a decision tree, trained on the small
+labelled table below, judges the word count and link density of the block and of its neighbours, whether it is a heading,
+and its place: on a page without a marked article, inside one, or beside one.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +21,28 @@ from pyspark.sql import functions as F
 from postmill.llm.scratch import small_batches
 
 #: Elements whose content is never text, and elements that begin or end a block.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head select option datalist textarea button audio video map".split())
+SILENT = frozenset("script style noscript template svg iframe canvas head select option datalist textarea button audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul xmp".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Regions that hold no main text, by element, and of other blocks by a word of class, id or role; and regions that do.
 OUTSIDE = frozenset("nav aside footer form menu dialog".split())
-OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
+OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination promo sidebar signup sponsored subscribe".split())
 INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article content entry main post story".split())
 #: Elements that a word of INSIDE_WORDS makes a main region; a heading, figure or inline element is none.
 CONTAINERS = frozenset("article center div main section table tbody td tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Labelled blocks: region (0 unknown, 1 main, 2 outside), page has a main region, heading, words, link density, words and
-#: link density of the block before, of the block after; then 1 for main text.
+#: Places of a block: on a page without an article, inside the article, beside it.
+ALONE, WITHIN, BESIDE = 0, 1, 2
+#: Labelled blocks: place, heading, words, link density, words and link density of the block before, of the block after;
+#: then 1 for main text. First the neighbours that stand for none, a link, a line and a paragraph.
 _NEAR = [(0, 0.0), (1, 1.0), (9, 0.0), (70, 0.0)]
-_PLAIN = [
+_PAIRS = [(before, after) for before in _NEAR for after in _NEAR]
+_LINKS = [((1, 1.0), (1, 1.0))]
+#: Where there is no article, short blocks among links are no text, others are.
+_ALONE = [
     (0, 3, 0.0, 0, 0.0, 0, 0.0, 1), (0, 12, 0.0, 0, 0.0, 0, 0.0, 1), (0, 80, 0.0, 0, 0.0, 0, 0.0, 1), (0, 80, 0.1, 1, 1.0, 1, 1.0, 1),
     (0, 25, 0.0, 1, 1.0, 9, 0.0, 1), (0, 25, 0.0, 9, 0.0, 1, 1.0, 1), (0, 25, 0.2, 70, 0.0, 70, 0.0, 1), (0, 4, 0.0, 70, 0.0, 70, 0.0, 1),
     (0, 4, 0.0, 9, 0.0, 70, 0.0, 1), (0, 4, 0.0, 70, 0.0, 9, 0.0, 1), (1, 5, 0.0, 1, 1.0, 70, 0.0, 1), (1, 5, 0.0, 70, 0.0, 70, 0.0, 1),
@@ -43,23 +50,25 @@ _PLAIN = [
     (0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 3, 1.0, 70, 0.0, 70, 0.0, 0), (0, 12, 0.7, 1, 1.0, 9, 0.0, 0),
     (0, 30, 0.6, 9, 0.0, 9, 0.0, 0), (1, 3, 1.0, 1, 1.0, 1, 1.0, 0), (0, 60, 0.8, 70, 0.0, 1, 1.0, 0), (0, 9, 0.5, 70, 0.0, 9, 0.0, 0),
 ]
-_LINKED = [(heading, words, dense, *before, *after, 0) for heading, words, dense in ((0, 2, 1.0), (0, 6, 1.0), (0, 30, 0.6), (0, 60, 0.8), (1, 6, 1.0)) for before in _NEAR for after in _NEAR]
-#: On a page with a main region, blocks of unknown region: long and link-free ones are text, as are short ones between
-#: two long ones and headings before a long one; other short ones and link-dense ones are not.
+_LINKED = [(heading, words, dense, *before, *after, 0) for heading, words, dense in ((0, 2, 1.0), (0, 6, 1.0), (0, 30, 0.6), (0, 60, 0.8), (1, 6, 1.0)) for before, after in _PAIRS]
+#: Inside the article text is text, linked headings and longer linked lines too; link bars and runs of links are not.
+_WITHIN = [
+    *((heading, words, dense, *before, *after, 1) for heading in (0, 1) for words, dense in ((1, 0.0), (4, 0.0), (12, 0.3), (60, 0.0), (60, 0.5)) for before, after in _PAIRS),
+    *((1, words, 1.0, *before, *after, 1) for words in (2, 8) for before, after in _PAIRS),
+    *((0, words, 1.0, *before, *after, int((before, after) not in _LINKS)) for words in (8, 30) for before, after in _PAIRS),
+    *((0, words, 1.0, *before, *after, 0) for words in (1, 2, 4) for before, after in _PAIRS),
+]
+#: Beside an article, long and link-free blocks are text, as are short ones between two long ones and headings before a
+#: long one; other short ones and link-dense ones are not.
 _BESIDE = [
     *((0, words, dense, *before, *after, 1) for words, dense in ((18, 0.0), (25, 0.1), (60, 0.0), (200, 0.2)) for before, after in zip(_NEAR, _NEAR[::-1])),
     *((0, words, 0.0, *near, *near, 1) for words in (18, 60) for near in _NEAR),
     *((0, words, 0.0, 70, 0.0, 70, 0.0, 1) for words in (2, 6, 12)), *((1, 6, 0.0, *near, 70, 0.0, 1) for near in _NEAR),
-    *((0, words, 0.0, *before, *after, 0) for words in (2, 6, 12) for before in _NEAR for after in _NEAR if before[0] < 70 or after[0] < 70),
+    *((0, words, 0.0, *before, *after, 0) for words in (2, 6, 12) for before, after in _PAIRS if before[0] < 70 or after[0] < 70),
     *((1, 6, 0.0, *before, *after, 0) for before in _NEAR for after in _NEAR[:3]),
     *_LINKED,
 ]
-LABELLED = [
-    *((region, 1, heading, words, dense, *before, *after, int(region == 1)) for region in (1, 2) for heading, words, dense in ((0, 2, 0.0), (0, 60, 0.0), (0, 6, 1.0), (1, 6, 0.0)) for before, after in zip(_NEAR, _NEAR[::-1])),
-    *((2, 0, heading, words, dense, *near, *near, 0) for heading, words, dense in ((0, 2, 0.0), (0, 60, 0.0), (0, 6, 1.0), (1, 6, 0.0)) for near in _NEAR),
-    *((0, 1, *row) for row in _BESIDE),
-    *((0, 0, *row) for row in _PLAIN + _LINKED),
-]
+LABELLED = [(place, *row) for place, rows in ((ALONE, _ALONE + _LINKED), (WITHIN, _WITHIN), (BESIDE, _BESIDE)) for row in rows]
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
@@ -91,7 +100,7 @@ def decide(tree, row) -> bool:
 
 def train(table=LABELLED):
     table = np.array(table, float)
-    return grow(table[:, :-1], table[:, -1], 8)
+    return grow(table[:, :-1], table[:, -1], 12)
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
@@ -164,6 +173,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, int, int]] = []  # element, region inside, silent
+    opened: Counter[str] = Counter()  # how often each element is on the stack: what is not there is not looked for
     region = silent = links = heading = 0
 
     def flush():
@@ -182,6 +192,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
             if links:
                 linked += len(part.split())
 
+    def close(k: int):
+        opened.subtract(entry[0] for entry in stack[k:])
+        del stack[k:]
+
     at, size = 0, len(page)
     while at < size:
         found = _TAG.search(page, at)
@@ -203,9 +217,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
                 flush()
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     around, silent = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
                     if around != region:
                         flush()
@@ -216,8 +230,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
             continue
         if name in RAW and not rest.rstrip().endswith("/"):
             end = _RAW_END[name].search(page, at)
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else size
+            if name == "xmp":  # shown as it is written
+                flush()
+                say(entities.escape(page[at : end.start() if end else size], quote=False))
+                flush()
+            after = page.find(">", end.start()) if end else -1
+            at = after + 1 if after >= 0 else size
             continue
         if name in EMPTY:
             if name == "hr":
@@ -226,9 +244,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
         if name in BLOCKS:
             flush()
             links = 0
-            for k in range(len(stack) - 1, -1, -1):  # end tags that this start tag implies
-                if stack[k][0] in _IMPLIED.get(name, ()):
-                    del stack[k:]
+            implied = [x for x in _IMPLIED.get(name, ()) if opened[x]]
+            for k in range(len(stack) - 1, -1, -1) if implied else ():  # end tags that this start tag implies
+                if stack[k][0] in implied:
+                    close(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "aside", "nav", "main", "body"):
                     break
@@ -245,19 +264,21 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
             silent = int(bool(silent) or name in SILENT or hidden)
             region = inside
             stack.append((name, region, silent))
+            opened[name] += 1
     flush()
     return out
 
 
-def _kept(blocks: list[tuple[str, int, int, float]], tree, by_name: int) -> list[str]:
-    """The blocks that the tree keeps, where region 3 counts as ``by_name``."""
-    regions = [by_name if b[1] == 3 else b[1] for b in blocks]
-    has_main = int(1 in regions)
+def _kept(blocks: list[tuple[str, int, int, float]], tree, named: bool) -> list[str]:
+    """The blocks that the tree keeps, of those outside the regions left out; with ``named`` those left out by a name, too."""
+    blocks = [b for b in blocks if b[1] < (3 if named else 4) and b[1] != 2]
+    marked = any(b[1] == 1 for b in blocks)
     words = [0, *(b[0].count(" ") + 1 for b in blocks), 0]
     density = [0.0, *(b[3] for b in blocks), 0.0]
     kept = []
-    for k, (text, _, heading, _) in enumerate(blocks, 1):
-        if decide(tree, (regions[k - 1], has_main, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1])):
+    for k, (text, region, heading, _) in enumerate(blocks, 1):
+        place = WITHIN if region == 1 else BESIDE if marked else ALONE
+        if decide(tree, (place, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1])):
             kept.append(text)
     return kept
 
@@ -265,7 +286,7 @@ def _kept(blocks: list[tuple[str, int, int, float]], tree, by_name: int) -> list
 def main_text(page: str, tree) -> str:
     """The kept blocks in page order, joined by one newline. Names of elements close nothing where no text were left."""
     blocks = blocks_of(page)
-    return "\n".join(_kept(blocks, tree, 2) or _kept(blocks, tree, 0))
+    return "\n".join(_kept(blocks, tree, True) or _kept(blocks, tree, False))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

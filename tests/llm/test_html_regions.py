@@ -72,6 +72,41 @@ def test_words_of_inline_elements_cut_nothing():
     assert text(f'<article><p>A <span class="search">word</span> of <a class="share" href="/x">it</a> {LONG}</p></article>') == f"A word of it {LONG}"
 
 
+@pytest.mark.parametrize("name", ["layout with-sidebar", "search-content", "tags", "share", "login", "related", "replies"])
+def test_names_of_parts_drop_no_text(name):
+    assert text(f'<body><div class="{name}"><h1>T</h1><p>{LONG}</p></div></body>') == f"T\n{LONG}"
+    assert text(f'<article><h1>T</h1><div class="{name}"><p>{LONG}</p></div></article>') == f"T\n{LONG}"
+
+
+def test_links_inside_an_article_are_judged_by_density_and_neighbours():
+    bar = "<div><a>Share</a> <a>Tweet</a></div>"
+    menu = "".join(f"<li><a>link number {k} of the long list here</a></li>" for k in range(3))
+    page = f'<article><h1><a href="/">T of it</a></h1><p>{LONG}</p>{bar}<p>{LONG} <a>one</a></p><p><a>Read the whole of the long report here</a></p><p>End.</p><ul><li><a>Top</a></li>{menu}<li><a>Last</a></li></ul></article>'
+    assert text(page) == f"T of it\n{LONG}\n{LONG} one\nRead the whole of the long report here\nEnd."
+
+
+def test_tree_reads_words_and_links_of_neighbours():
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert used(TREE) >= {0, 2, 3} and used(TREE) & {4, 5} and used(TREE) & {6, 7}
+    for place in (html_text.ALONE, html_text.WITHIN, html_text.BESIDE):  # no place decides by itself
+        assert {html_text.decide(TREE, row[:-1]) for row in html_text.LABELLED if row[0] == place} == {True, False}
+
+
+def test_formulas_and_raw_text_stay():
+    assert text("<article><p>a <math><mi>x</mi></math> b <object>c</object></p><xmp>raw <b> &amp;</xmp></article>") == "a x b c\nraw <b> &amp;"
+
+
+def test_many_unclosed_tags_are_read_in_one_pass():
+    import time
+
+    for page in ("<div>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<blockquote>" * 50_000 + "<p>" * 50_000, "<p>" * 100_000, "<form>" * 50_000, "<a" * 50_000, "<!--" * 50_000):
+        began = time.time()
+        text(f"<article>{LONG}" + page)
+        assert time.time() - began < 5
+
+
 def test_outside_stays_outside():
     page = f'<body><nav><article>{LONG}</article></nav>{ARTICLE}<div class="comments"><article class="comment"><p>{LONG}</p></article></div><form><label>Mail</label></form><div class="ad">{LONG}</div></body>'
     assert text(page) == f"T\n{LONG}"
