@@ -103,8 +103,9 @@ WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(coalesce(html, '
   UNION ALL
   SELECT 2 * page_id + 1, 'revisit', url || '#again', sec + 108000, CASE WHEN page_id % 5 = 0 OR page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 0 THEN '"other"' ELSE '"' || digest || '"' END, CASE WHEN page_id % 11 <> 0 THEN day END, NULL, NULL, page_id FROM p)
 , plain AS (SELECT *, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS u FROM rec)
-, cut AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host, regexp_replace(u, '^[^/?]*', '') AS rest FROM plain)
-, keyed AS (SELECT *, host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '([?&])utm_[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', ''), '/$', '') AS url_key FROM cut)
+, cut AS (SELECT *, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^[^@]*@', '') AS h, regexp_replace(regexp_extract(u, '(?s)^[^/?]*([^?]*)', 1), '/$', '') AS path, regexp_replace(u, '^[^?]*', '') AS query FROM plain)
+, keyed AS (SELECT *, regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END, '^www\.', '') || path
+  || regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, '([?&])utm_[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS url_key FROM cut)
 , seen AS (SELECT *, last_value(CASE WHEN type = 'response' THEN {'id': record_id, 'etag': etag, 'lm': lm, 'size': size, 'digest': digest} END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY sec, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS was FROM keyed)
 , judged AS (SELECT *, CASE WHEN was IS NULL THEN 'no_response' WHEN etag IS NOT NULL THEN CASE WHEN etag = was.etag THEN 'resolved' ELSE 'mismatch' END WHEN lm IS NOT NULL THEN CASE WHEN lm = was.lm THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS status FROM seen WHERE type = 'revisit')
 SELECT record_id, url_key, status, was.id AS response_id, CASE WHEN status = 'resolved' THEN concat('cache-control: max-age=', age, chr(10), 'content-length: ', was.size, chr(10), 'server: one') END AS headers, CASE WHEN status = 'resolved' THEN was.digest END AS payload_digest FROM judged""",

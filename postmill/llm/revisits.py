@@ -13,14 +13,15 @@ NOT_MERGED = ["connection", "content-encoding", "content-length", "content-md5",
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, user, www., default port, fragment, utm_ parameters and a slash at the end; host in lower case."""
+    """Host, path and query without scheme, user, www., the scheme's own port, fragment, utm_ parameters and a slash at the path's end; host in lower case."""
+    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
     plain = F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    host = F.lower(F.regexp_extract(plain, r"^[^/?]*", 0))
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":(80|443)$", ""), r"^www\.", "")
-    rest = F.regexp_replace(plain, r"^[^/?]*", "")
-    rest = F.regexp_replace(rest, r"([?&])utm_[^&]*", r"$1")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"&&+", "&"), r"\?&+", "?")
-    return F.concat(host, F.regexp_replace(F.regexp_replace(rest, r"[?&]+$", ""), r"/$", ""))
+    host = F.regexp_replace(F.lower(F.regexp_extract(plain, r"^[^/?]*", 0)), r"^[^@]*@", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
+    path = F.regexp_extract(plain, r"(?s)^[^/?]*([^?]*)", 1)
+    query = F.regexp_replace(F.regexp_replace(plain, r"^[^?]*", ""), r"([?&])utm_[^&]*", r"$1")
+    query = F.regexp_replace(F.regexp_replace(query, r"&&+", "&"), r"\?&+", "?")
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/$", ""), F.regexp_replace(query, r"[?&]+$", ""))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     validator that the revisit has (etag compared weakly, else last_modified, else payload_digest) equals the response's;
     mismatch if not; no_validator if it has none; no_response without an earlier response, or with a null url or ts. Only
     resolved rows have headers and a digest: the response's headers (lower-case names), replaced or extended by the
-    revisit's, but for NOT_MERGED. Repeated rows resolve alike; a null header map is empty; an empty table gives none.
+    revisit's, but for NOT_MERGED. Repeated rows resolve alike; very long URLs are compared whole; a null header map is empty; an empty table gives none.
 
     Skew: captures are range-partitioned by (url_key, ts, record_id, type), so a URL with a third of all captures, be they of
     one day or one second, is cut into many blocks of even size. Windows run within a URL's block; the last response of

@@ -228,6 +228,12 @@ def test_revisits(spark):
     assert late == {k: k // 50 * 50 for k in range(500) if k % 50}
 
 
+def test_canonical_urls(spark):
+    rows = [("http://a.org/?x=/", "a.org?x=/"), ("http://a.org/?x=", "a.org?x="), ("https://a.org:80/", "a.org:80"), ("http://a.org:443", "a.org:443"), ("HTTP://www.A.org:80/B/?utm_a=1&c=2&utm_d", "a.org/B?c=2"), ("https://u@a.org:443/x/y/#z", "a.org/x/y"), ("a.org:80/x", "a.org:80/x"), ("http://a.org//", "a.org/"), ("", ""), (None, None), ("http://a.org/" + "x" * 50_000 + "/", "a.org/" + "x" * 50_000)]
+    got = spark.createDataFrame(rows, "url string, want string").select("want", revisits.canonical_url(F.col("url")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_revisits_of_one_url_in_one_second(spark):
     hot = [(k, "response" if k % 70 == 3 else "revisit", "http://h.org/", at(0), '"x"', None, None, "p") for k in range(400)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many blocks of the one second
