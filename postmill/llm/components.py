@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.llm.scratch import materialize
+from postmill.llm.scratch import broadcast_if_small, materialize, release
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -15,17 +14,22 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Self-links are ignored, repeated and reversed links count once; a null end drops the link. No links: an empty table.
     Links point from the larger to the smaller node. In a round each node takes its smallest neighbour as parent, its
     other neighbours are linked to that parent instead, and every link then jumps to its end's own parent. It ends when
-    all links are stars; the rounds are logarithmic in the length of paths. Repeated links are dropped with partial
-    aggregation first, so that a node is never in one task with more rows than it has distinct smaller neighbours; the
-    joins on parents, where one of them may be very common, are plain equi-joins that adaptive execution may split.
+    all links are stars; the rounds are logarithmic in the length of paths. The smallest neighbour is a partial aggregate,
+    joined back, so that no node's links meet in one task: parents are broadcast while they are few, and else adaptive
+    execution may split the joins.
     """
-    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("open"))
+    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    old: list[DataFrame] = []
     while True:
-        lowest = links.select("u", "v").distinct().withColumn("p", F.min("v").over(W.partitionBy("u")))
-        parents = lowest.where("v = p").select(F.col("u").alias("y"), F.col("p").alias("q"))
+        table = materialize(spark, links.groupBy("u").agg(F.min("v").alias("p")), "parents")
+        parents = broadcast_if_small(table)
+        lowest = links.select("u", "v").join(parents, "u")
         moved = lowest.select(F.when(F.col("v") == F.col("p"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("p").alias("y"), (F.col("v") != F.col("p")).alias("moved"))
-        jumped = moved.join(parents, "y", "left").select("u", F.coalesce("q", "y").alias("v"), (F.col("moved") | F.col("q").isNotNull()).alias("open"))
-        links = materialize(spark, jumped, "links")
+        up = parents.select(F.col("u").alias("y"), F.col("p").alias("q"))
+        jumped = moved.join(up, "y", "left").select("u", F.coalesce("q", "y").alias("v"), (F.col("moved") | F.col("q").isNotNull()).alias("open"))
+        links = materialize(spark, jumped.groupBy("u", "v").agg(F.max("open").alias("open")), "links")
+        release(spark, *old, table)
+        old = [links]
         if links.where("open").isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", F.col("v").alias("component")).distinct())
