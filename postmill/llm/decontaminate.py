@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from postmill.llm.scratch import broadcast_if_small, materialize, text_key
 
 SHINGLE, MINIMA, NEEDED = 5, 24, 3
+#: Size of all shingles of the items, in characters, up to which they are broadcast for the exact check.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -59,16 +61,16 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, p
     lengths = [r.gram for r in known.select("gram").distinct().limit(SHINGLE).collect()]  # five numbers at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     words = texts.select("id", words_of(F.col("text")).alias("words"))
-    hashes = [words.where(F.size("words") >= n).select("id", F.explode(_grams("words", n, _hash)).alias("h")) for n in sorted(lengths, reverse=True)]
-    if not hashes:
+    if not lengths:
         return texts.join(known, F.lit(False)).select("id", "item")
-    held = hashes[0]
-    for more in hashes[1:]:
-        held = held.union(more)
+    # all lengths in one pass over the documents; a hash covers its length, so lengths do not mix
+    none = F.array().cast("array<bigint>")
+    held = words.select("id", F.explode(F.concat(*[F.coalesce(_grams("words", n, _hash), none) for n in sorted(lengths)])).alias("h"))
     hits = held.join(broadcast_if_small(sketch), "h").select("id", "item", "needed", "slots", "h").distinct()
     candidates = materialize(spark, hits.groupBy("id", "item").agg(F.sum("slots").alias("slots"), F.min("needed").alias("needed")).where("slots >= needed").select("id", "item"), "candidates")
     found = texts.join(broadcast_if_small(candidates), "id").select("id", "item", words_of(F.col("text")).alias("words"))
-    exact = found.join(broadcast_if_small(known, 20_000), "item")
+    size = known.agg(F.sum(F.expr("aggregate(grams, 0L, (n, g) -> n + length(g) + 24)"))).first()[0] or 0
+    exact = found.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "item")
     mine = _grams("words", SHINGLE, _text)
     for n in range(1, SHINGLE):
         mine = F.when(F.col("gram") == n, _grams("words", n, _text)).otherwise(mine)
