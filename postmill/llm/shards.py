@@ -1,13 +1,16 @@
 """Size-tiered shards of a table under versioned manifests, in DataFrame functions only.
 
 Arrivals are appended as small immutable Parquet shards. Compaction merges runs of similarly sized shards into files of
-up to the target size, without a shuffle. Readers see what the latest manifest lists; a manifest is written aside and
-renamed into place, and a rename onto an existing version fails, so a commit is atomic and of two writers one wins.
+up to the target size, and cuts shards of more than twice that at their row groups, without a shuffle. Readers see what
+the latest manifest lists; a manifest is written aside and renamed into place. On file systems whose rename is atomic and
+fails onto an existing file (HDFS, local disks) a commit is atomic, and of two writers one wins; object stores whose
+rename is a copy give no such promise, and take one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +90,11 @@ class ShardStore:
         """Merge tiers with at least ``fan_in`` shards until none has; one new version, the old one if nothing to do."""
         base = self.manifest()
         shards, merged = base["shards"], False
+        large = [s for s in shards if s["bytes"] > 2 * self.target]
+        parts = self._write(self._rows(base["schema"], large)) if large else []  # a file a split, as Spark reads them
+        if len(parts) > len(large):
+            self._same_count(base["schema"], parts, large)
+            shards, merged = [s for s in shards if s not in large] + parts, True
         while True:
             tiers: dict[int, list[dict]] = {}
             for shard in shards:
@@ -99,8 +107,7 @@ class ShardStore:
             total = sum(s["bytes"] for s in run)
             files = max(1, min(-(-total // self.target), len(run) // self.fan_in))
             new = self._write(self._rows(base["schema"], run).coalesce(files))
-            if self._count(base["schema"], new) != self._count(base["schema"], run):
-                raise RuntimeError("a merge changed the number of rows; nothing was committed")
+            self._same_count(base["schema"], new, run)
             taken = {s["path"] for s in run}
             shards, merged = [s for s in shards if s["path"] not in taken] + new, True
         return self._commit(base, base["schema"], shards) if merged else base["version"]
@@ -110,8 +117,9 @@ class ShardStore:
 
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*[s["path"] for s in shards])
 
-    def _count(self, schema: str, shards: list[dict]) -> int:
-        return self._rows(schema, shards).count()  # from the files' footers
+    def _same_count(self, schema: str, new: list[dict], old: list[dict]) -> None:
+        if self._rows(schema, new).count() != self._rows(schema, old).count():  # from the files' footers
+            raise RuntimeError("a merge changed the number of rows; nothing was committed")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the latest if not given."""
@@ -120,28 +128,52 @@ class ShardStore:
             raise ValueError("the store is empty")
         return self._rows(found["schema"], found["shards"])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` versions lists, and older manifests; gives the number of shards."""
+    def vacuum(self, keep: int = 1, hours: float = 24.0) -> int:
+        """Delete shards that none of the last ``keep`` versions lists, and older manifests; gives the number of shards.
+
+        Shards and manifests that no version lists, left by commits that failed, go once they are ``hours`` old.
+        """
         versions = self.versions()
         live = {s["path"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
         dead = {s["path"] for v in versions[:-keep] for s in self.manifest(v)["shards"]} - live
+        late = time.time() * 1000 - hours * 3_600_000
+        fs, found = self._fs(), self._path(f"{self.root}/shards")
+        files = fs.listFiles(found, True) if fs.exists(found) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            name = str(f.getPath().toString())
+            if name.endswith(".parquet") and name not in live and f.getModificationTime() <= late:
+                dead.add(name)
         for path in dead:
-            self._fs().delete(self._path(path), False)
+            fs.delete(self._path(path), False)
+        for f in fs.listStatus(self._path(f"{self.root}/manifests")) if versions else []:
+            if f.getPath().getName().startswith(".") and f.getModificationTime() <= late:
+                fs.delete(f.getPath(), False)
         for v in versions[:-keep]:
-            self._fs().delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
+            fs.delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
         return len(dead)
 
 
 def shard_in_arrivals(spark: SparkSession, rows: DataFrame, root: str, key: str, arrivals: int = 4, target_bytes: int = 128 * MIB) -> ShardStore:
     """A store of ``rows`` that came as ``arrivals`` batches (by a hash of ``key``; null keys come first), then compacted.
 
-    Every row is stored once, whatever its nulls, length or repetition; column names are free. An empty table is a store
-    whose version lists shards without rows.
+    The rows are read once and written into a folder an arrival; each folder is then committed as a version. Every row is
+    stored once, whatever its nulls, length or repetition; column names are free. An empty table is a store whose version
+    lists shards without rows.
     """
     store = ShardStore(spark, root, target_bytes)
-    batch = F.coalesce(F.pmod(F.xxhash64(key), F.lit(arrivals)), F.lit(0))
-    for k in range(arrivals):
-        store.append(rows.where(batch == k))
+    name = "arrival"
+    while name in rows.columns:
+        name += "_"
+    folder = f"{store.root}/shards/{uuid.uuid4().hex}"
+    numbered = rows.withColumn(name, F.coalesce(F.pmod(F.xxhash64(key), F.lit(arrivals)), F.lit(0)))
+    numbered.write.option("compression", "zstd").partitionBy(name).parquet(folder)
+    found = [store._files(f"{folder}/{name}={k}") if store._fs().exists(store._path(f"{folder}/{name}={k}")) else [] for k in range(arrivals)]
+    for files in found if any(found) else []:
+        base = store.manifest()
+        store._commit(base, rows.schema.json(), base["shards"] + [{"path": p, "bytes": n} for p, n in files])
+    if not any(found):
+        store.append(rows)
     store.compact()
     store.vacuum()
     return store

@@ -190,10 +190,32 @@ def test_shards_round_trip_and_commits(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         other._commit(base, base["schema"], [])
     assert store.vacuum() > 0 and store.versions() == [4] and store.read().count() == rows.count() + 1
+    store._write(rows.limit(3))  # as a commit that failed leaves it
+    assert store.vacuum() == 0 and store.vacuum(hours=-1) >= 1 and store.read().count() == rows.count() + 1
+    whole = shards.shard_in_arrivals(spark, rows.withColumn("arrival", F.lit(7)), f"file://{tmp_path}/whole", "doc_id")
+    assert same(whole.read(), rows.withColumn("arrival", F.lit(7)))
+    assert whole.versions()[-1] == 4 or whole.versions()[-1] == 5
     empty = shards.shard_in_arrivals(spark, rows.limit(0), f"file://{tmp_path}/empty", "doc_id")
     assert empty.read().count() == 0 and empty.read().columns == rows.columns
 
 
+def test_large_shards_are_cut_at_row_groups(spark, tmp_path):
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    store = shards.ShardStore(spark, f"file://{tmp_path}/large", target_bytes=4 << 20)
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(1 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
+    try:
+        store.append(rows)
+        before = [s["bytes"] for s in store.manifest()["shards"]]
+        store.compact()
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    after = [s["bytes"] for s in store.manifest()["shards"]]
+    assert len(before) == 1 and len(after) > 1 and max(after) <= 8 << 20
+    assert store.read().count() == 400_000 and store.read().distinct().count() == 400_000
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
