@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.components import connected_components
-from postmill.llm.scratch import broadcast_if_small, materialize
+from postmill.llm.scratch import broadcast_if_small, materialize, release
 
 #: Vectors a cell should have at home, and pivots at most (their broadcast is then at most MAX_PIVOTS vectors).
 CELL, MAX_PIVOTS = 2048, 4096
@@ -158,6 +158,7 @@ def similar_embeddings(spark: SparkSession, vectors: DataFrame, cosine: float =
     known_links = again.join(linked, F.col("rep") == F.col("id"), "left").select(*same, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     equal = copies.join(broadcast_if_small(materialize(spark, known_links, "equal-linked")), same).select("id", "n", "component")
     single = linked.join(again.select(F.col("rep").alias("id")), "id", "left_anti")
+    release(spark, spaces, sizes, placed, found)
     out = all_rows.select("id").join(single.union(equal), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,8 @@ band with probability (1 - 0.75^5)^48, about 2 in a million. Candidates are conf
 Skew: exact copies (same set) collapse first, with partial aggregation; in a band bucket the members are compared with
 one hub (a star, never all pairs). Buckets whose members are then in one component are settled. In the others, members
 outside the lowest component are compared with all members of other components: as pair rows in small buckets, in large
-ones as pairs of blocks, compared inside a task, which emit only links. So no cap or sample drops a link.
+ones as pairs of blocks, compared inside a task, which emit only links. Blocks hold members of one class of sizes, and meet
+only blocks of classes whose sizes allow the similarity. So no cap or sample drops a link.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.components import connected_components
-from postmill.llm.scratch import broadcast_if_small, materialize, small_batches, text_key
+from postmill.llm.scratch import broadcast_if_small, materialize, release, small_batches, text_key
 from postmill.llm.word_sets import keys, mix, shingle_sets
 
 PERMUTATIONS, ROWS = 120, 5
@@ -120,17 +121,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     real = rows.where(~plain)
     # tables of keys are written first: the join then reads both sides straight from a shuffle, which adaptive execution can split
     classes = real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").drop("top")
-    classes = broadcast_if_small(materialize(spark, classes, "classes"))
+    classes = materialize(spark, classes, "classes")
     rep = F.coalesce("rep", "id")
-    member = real.join(classes, ["f1", "f2", "n"], "left").select("id", "n", rep.alias("rep"), F.when(F.col("id") == rep, F.col("bands")).alias("bands"))
+    member = real.join(broadcast_if_small(classes), ["f1", "f2", "n"], "left").select("id", "n", rep.alias("rep"), F.when(F.col("id") == rep, F.col("bands")).alias("bands"))
     member = materialize(spark, member, "members")
     links = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # ids with several texts
     links = None if links.isEmpty() else member.join(links.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a < b")
     keyed = member.where("bands is not null").select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    shared = broadcast_if_small(materialize(spark, shared, "shared"))
-    buckets = materialize(spark, keyed.join(shared, "key").select("key", "id", "hub"), "buckets")
+    shared = materialize(spark, shared, "shared")
+    buckets = materialize(spark, keyed.join(broadcast_if_small(shared), "key").select("key", "id", "hub"), "buckets")
     ids = materialize(spark, buckets.select("id").distinct(), "candidates")
+    # of an id with several texts each has its sets; a class is represented by the set of its own text
+    sized = member.where("bands is not null").select("id", "n").distinct()
     members = materialize(spark, texts.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(_sets, "id long, n long, members binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -148,22 +151,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     groups = connected_components(spark, links)
     now = buckets.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     lowest = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").drop("hi")
-    lowest = broadcast_if_small(materialize(spark, lowest, "lowest"))
-    unsettled = materialize(spark, now.join(lowest, "key"), "unsettled")
+    lowest = materialize(spark, lowest, "lowest")
+    unsettled = materialize(spark, now.join(broadcast_if_small(lowest), "key"), "unsettled")
     few, many = unsettled.where(F.col("size") <= PAIRS), unsettled.where(F.col("size") > PAIRS)
     other = few.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
     pairs = few.where("c <> lo").join(other, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    parts = many.groupBy("key").agg(F.ceil(F.count_if(F.col("c") != F.col("lo")) / BLOCK).alias("nb"), F.ceil(F.count("*") / BLOCK).alias("nc"))
-    parts = broadcast_if_small(materialize(spark, parts, "parts"))
-    cut = many.join(parts, "key").join(members, "id")
+    # sizes of linked sets differ by a factor of 100 / percent at most: by less than two steps of the classes
+    step = float(np.log(100 / percent)) + 1e-9
+    many = many.join(sized, "id").withColumn("s", F.floor(F.log("n") / step)).drop("n")
     slot = F.xxhash64("id")
+    left = many.where("c <> lo").withColumn("s", F.explode(F.sequence(F.col("s") - 1, F.col("s") + 1)))
+    parts = left.groupBy("key", "s").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    parts = parts.join(many.groupBy("key", "s").agg(F.ceil(F.count("*") / BLOCK).alias("nc")), ["key", "s"])
+    parts = materialize(spark, parts, "parts")
+    few_parts = broadcast_if_small(parts)
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = cut.where("c <> lo").select("key", F.pmod(slot, F.col("nb")).alias("i"), across("nc").alias("j"), "id", "c", "members", F.lit(True).alias("left"))
-    right = cut.select("key", across("nb").alias("i"), F.pmod(slot, F.col("nc")).alias("j"), "id", "c", "members", F.lit(False).alias("left"))
-    blocks = left.union(right).groupBy("key", "i", "j").applyInPandas(_links_of_blocks(percent), "a long, b long")
+    left = left.join(few_parts, ["key", "s"]).select("key", "s", F.pmod(slot, F.col("nb")).alias("i"), across("nc").alias("j"), "id", "c", F.lit(True).alias("left"))
+    right = many.join(few_parts, ["key", "s"]).select("key", "s", across("nb").alias("i"), F.pmod(slot, F.col("nc")).alias("j"), "id", "c", F.lit(False).alias("left"))
+    blocks = left.union(right).join(members.select("id", "members"), "id").groupBy("key", "s", "i", "j").applyInPandas(_links_of_blocks(percent), "a long, b long")
     more = settle(blocks, pairs)
     if not more.isEmpty():
         groups = connected_components(spark, links.union(more))
+    release(spark, classes, shared, buckets, ids, members, lowest, unsettled, parts, links, more)
     linked = member.join(groups, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
     out = linked.union(rows.where(plain).select("id", "n", F.col("id").alias("c")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))

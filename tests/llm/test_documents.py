@@ -292,3 +292,20 @@ def test_pipeline_equals_brute_force(spark):
         codec = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(f.read()), special_tokens={})
     got = {r.doc_id: (list(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {i: (codec.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+
+
+def test_recall_of_bands_near_the_threshold():
+    """Of pairs of sets at a similarity of 0.75 to 0.80 all share a band."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    for k in range(600):
+        n = int(draw.integers(40, 400))
+        common = -(-3 * n // 4) + int(draw.integers(0, max(1, n // 20)))
+        values = near_dup.mix(draw.integers(0, 1 << 62, 2 * n, dtype=np.uint64))
+        one = values[:n]
+        extra = int(common / 0.75) - n if common / 0.75 > n else 0
+        other = np.concatenate([one[:common], values[n : n + extra]])
+        both = len(np.intersect1d(one, other)) / len(np.union1d(one, other))
+        assert both >= 0.74
+        assert both < 0.75 or (near_dup.bands(np.unique(one)) == near_dup.bands(np.unique(other))).any()
