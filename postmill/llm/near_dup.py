@@ -165,10 +165,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     parts = parts.join(many.groupBy("key", "s").agg(F.ceil(F.count("*") / BLOCK).alias("nc")), ["key", "s"])
     parts = materialize(spark, parts, "parts")
     few_parts = broadcast_if_small(parts)
-    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.join(few_parts, ["key", "s"]).select("key", "s", F.pmod(slot, F.col("nb")).alias("i"), across("nc").alias("j"), "id", "c", F.lit(True).alias("left"))
-    right = many.join(few_parts, ["key", "s"]).select("key", "s", across("nb").alias("i"), F.pmod(slot, F.col("nc")).alias("j"), "id", "c", F.lit(False).alias("left"))
-    blocks = left.union(right).join(members.select("id", "members"), "id").groupBy("key", "s", "i", "j").applyInPandas(_links_of_blocks(percent), "a long, b long")
+    # sets are joined to one row a member and class; the copies for blocks are made after that
+    left = left.join(few_parts, ["key", "s"]).select("key", "s", F.pmod(slot, F.col("nb")).alias("at"), F.col("nc").alias("copies"), "id", "c", F.lit(True).alias("left"))
+    right = many.join(few_parts, ["key", "s"]).select("key", "s", F.pmod(slot, F.col("nc")).alias("at"), F.col("nb").alias("copies"), "id", "c", F.lit(False).alias("left"))
+    sides = left.union(right).join(members.select("id", "members"), "id")
+    sides = sides.select("key", "s", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("other"), "id", "c", "members", "left")
+    i, j = F.when(F.col("left"), F.col("at")).otherwise(F.col("other")), F.when(F.col("left"), F.col("other")).otherwise(F.col("at"))
+    blocks = sides.select("key", "s", i.alias("i"), j.alias("j"), "id", "c", "members", "left").groupBy("key", "s", "i", "j").applyInPandas(_links_of_blocks(percent), "a long, b long")
     more = settle(blocks, pairs)
     if not more.isEmpty():
         groups = connected_components(spark, links.union(more))
