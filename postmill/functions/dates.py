@@ -10,7 +10,7 @@ MONTHS = ["янв", "фев", "мар", "апр", "мая", "июн", "июл",
 #: Days to answer by kind of claim, and hours for follow-up events.
 SLA_DAYS = {"defect": 10, "shortage": 3, "damage": 5, "wrong_item": 7, "surplus": 7}
 SLA_DEFAULT_DAYS = 7
-SLA_HOURS = {"reminder": 4, "supplier_decision": 24}
+SLA_HOURS = {"reminder": 4, "supplier_decision": 4}
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -19,9 +19,9 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date(x: Column) -> Column:
-    """A date from ISO, D.M.YYYY, D.M.YY, D/M/YYYY or a day, Russian month word and year; null if there is none or it is not valid."""
+    """A date from ISO, D.M.YYYY, D.M.YY, D/M/YYYY, D-M-YYYY or a day, Russian month word and year; null if there is none or it is not valid."""
     text = F.lower(F.trim(x))
-    iso, dotted, words = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})\b", r"^(\d{1,2})\s+(\p{L}+)\s+(\d{4})"
+    iso, dotted, words = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})\b", r"^(\d{1,2})\s+(\p{L}+)\s+(\d{4})"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(text, words, 2), 1, 3))
     month = F.when(F.regexp_extract(text, words, 2) == "май", 5).otherwise(month).cast("string")
     g = F.regexp_extract
@@ -72,12 +72,12 @@ def hours_left(deadline_at: Column, now: Column) -> Column:
 
 
 def priority_by_hours(left: Column, urgent: Column, followup: Column, critical: int = 4, warning: int = 24) -> Column:
-    """critical, high, medium or normal by words, hours left and whether it follows up."""
+    """critical, high, medium or normal by words, hours left and whether it follows up; without a deadline normal."""
     soon = max(72, 2 * warning)
-    return F.when(urgent | (left <= critical), "critical").when(left <= warning, "high").when(followup | (left <= soon), "medium").otherwise("normal")
+    return F.when(urgent | (left <= critical), "critical").when(left <= warning, "high").when(left.isNotNull() & (followup | (left <= soon)), "medium").otherwise("normal")
 
 
-def retry_seconds(attempt: Column, base: int = 60, most: int = 21600) -> Column:
+def retry_seconds(attempt: Column, base: int = 300, most: int = 21600) -> Column:
     """Exponential backoff, at most six hours."""
     return F.least(base * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0)).cast("double")), F.lit(float(most))).cast("long")
 

@@ -60,10 +60,25 @@ def links(x: Column, most: int | None = 20) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
+def _references(x: Column) -> Column:
+    """The common character references decoded in columns; &amp; last."""
+    for name, char in (("nbsp", " "), ("#160", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("laquo", "«"), ("raquo", "»"), ("mdash", "—"), ("ndash", "–"), ("amp", "&")):
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
+    return x
+
+
 def table_rows(x: Column) -> Column:
     """array<array<string>>: the cells of each table row, tags removed."""
     rows = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), 1)
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", ""))))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1), lambda c: F.trim(_references(F.regexp_replace(c, r"<[^>]*>", "")))))
+
+
+def _field_of(cell: Column) -> Column:
+    """The field that a header of at most 40 characters names anywhere in it; the first listed one wins."""
+    low, out = F.lower(F.trim(cell)), F.lit(None).cast("string")
+    for word, field in reversed(HEADERS.items()):
+        out = F.when(low.contains(word), field).otherwise(out)
+    return F.when(F.length(low).between(1, 40), out)
 
 
 def product_items(rows: Column, most: int = 20) -> Column:
@@ -71,8 +86,7 @@ def product_items(rows: Column, most: int = 20) -> Column:
 
     Rows of another width are left out; a table with more rows than ``most`` is a layout table and gives its first row.
     """
-    known = F.create_map(*[F.lit(v) for kv in HEADERS.items() for v in kv])
-    fields = F.transform(rows, lambda r: F.transform(r, lambda c: F.try_element_at(known, F.lower(F.trim(c)))))
+    fields = F.transform(rows, lambda r: F.transform(r, _field_of))
     at = F.array_position(F.transform(fields, lambda f: F.size(F.array_compact(f)) >= 3), True)
     head = F.try_element_at(fields, at.cast("int"))
     below = F.filter(F.slice(rows, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(rows)), lambda r: F.size(r) == F.size(head))
@@ -87,8 +101,25 @@ def field_at(document: Column, path: str) -> Column:
 
 
 def mask_secrets(document: Column) -> Column:
-    """JSON text with the values of secret-like keys replaced; string, number and flat array values."""
-    return F.regexp_replace(document, "(\"[^\"]*" + SECRET + "[^\"]*\"\\s*:\\s*)(\"(?:[^\"\\\\]|\\\\.)*\"|\\[[^\\]]*\\]|[^,}\\s]+)", '$1"***"')
+    """JSON text with the whole values of secret-like keys replaced, at any depth; text that is no JSON becomes null."""
+    return _masked(document)
+
+
+def _hide(value):
+    if isinstance(value, dict):
+        return {k: "***" if re.search(SECRET, k) else _hide(v) for k, v in value.items()}
+    return [_hide(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def _masked(texts: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            return json.dumps(_hide(json.loads(t)), ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one)
 
 
 def _walk(value, key, out):

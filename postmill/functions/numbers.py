@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words of products, which no document number holds.
+PRODUCT_WORDS = r"(?iu)фильтр|масло|колодк|диск|ремень|свеч|насос|подшипник|амортизатор|рычаг|датчик|комплект"
+
+
 def parse_number(x: Column) -> Column:
     """A double from text with spaces and a decimal comma; null if it is none."""
     return F.expr("try_cast(null as double)") if x is None else F.regexp_replace(F.regexp_replace(F.trim(x), r"[\s ]", ""), ",", ".").try_cast("double")
@@ -13,22 +17,24 @@ def parse_number(x: Column) -> Column:
 
 def check_price(x: Column) -> Column:
     """(value, error): a price over 0 and up to 10 million, currency signs ignored."""
-    v = parse_number(F.regexp_replace(F.lower(x), r"(руб\.?|rub|р\.|₽|eur|usd|[€$])", ""))
-    error = F.when(v.isNull(), "not_a_number").when(v <= 0, "not_positive").when(v > 10_000_000, "too_large")
+    bare = F.regexp_replace(F.lower(x), r"(руб\.?|rub|р\.|₽|eur|usd|[€$])", "")
+    v = parse_number(bare)
+    error = F.when(bare.rlike(r"\p{L}"), "has_letters").when(v.isNull(), "not_a_number").when(v <= 0, "not_positive").when(v > 10_000_000, "too_large")
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
 
 
 def check_quantity(x: Column) -> Column:
-    """(value, error): a quantity over 0 and up to 1000; letters are rejected."""
-    v = parse_number(x)
-    error = F.when(x.rlike(r"\p{L}"), "has_letters").when(v.isNull(), "not_a_number").when(v <= 0, "not_positive").when(v > 1000, "too_large")
+    """(value, error): a quantity over 0 and up to 1000; units of pieces are ignored, other letters rejected."""
+    bare = F.regexp_replace(F.lower(x), r"(шт|pcs|ед)\.?", "")
+    v = parse_number(bare)
+    error = F.when(bare.rlike(r"\p{L}"), "has_letters").when(v.isNull(), "not_a_number").when(v <= 0, "not_positive").when(v > 1000, "too_large")
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
 
 
 def check_document_number(x: Column) -> Column:
-    """(value, error): up to 40 characters, with a digit, and not a date."""
+    """(value, error): up to 40 characters, with a digit, not a date, and not a product's name."""
     v = F.trim(x)
-    error = F.when(F.coalesce(F.length(v), F.lit(0)) == 0, "missing").when(F.length(v) > 40, "too_long").when(~v.rlike(r"\d"), "no_digit").when(v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-](\d{4}|\d{2})$"), "is_date")
+    error = F.when(F.coalesce(F.length(v), F.lit(0)) == 0, "missing").when(F.length(v) > 40, "too_long").when(~v.rlike(r"\d"), "no_digit").when(v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-](\d{4}|\d{2})$"), "is_date").when(v.rlike(PRODUCT_WORDS), "is_product")
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
 
 

@@ -90,17 +90,21 @@ def around(x: Column, value: Column, radius: int = 80, limit: int = 320) -> Colu
 
 
 def safe_filename(x: Column) -> Column:
-    return F.substring(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}._-]+", "_"), 1, 120)
+    """A text as a file name: other characters as _, no . or _ at its ends, at most 120; event if nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}._-]", "_"), r"^[._]+|[._]+$", "")
+    return F.when(F.length(clean) > 0, F.substring(clean, 1, 120)).otherwise("event")
 
 
 def query_type(x: Column) -> Column:
-    """What a search string looks like: message_id, email, numeric, part_number or text."""
+    """What a search string looks like: unknown if empty, numeric, message_id, email, part_number (letters and digits) or text."""
     q = F.trim(x)
     return (
-        F.when(q.rlike(r"^<.+@.+>$"), "message_id")
+        F.when(F.coalesce(F.length(q), F.lit(0)) == 0, "unknown")
+        .when(q.rlike(r"@") & q.rlike(r"[<>]"), "message_id")
         .when(q.rlike(r"^[\w.+-]+@[\w-]+\.[\w.-]+$"), "email")
+        .when(q.rlike(r"^[^\s@]+@[^\s@]+$"), "message_id")
         .when(q.rlike(r"^[0-9]+$"), "numeric")
-        .when(q.rlike(r"^(?=.*[0-9])[A-Za-z0-9./-]{4,40}$"), "part_number")
+        .when(q.rlike(r"^(?=.*[0-9])(?=.*\p{L})[\p{L}0-9._/-]{3,40}$"), "part_number")
         .otherwise("text")
     )
 

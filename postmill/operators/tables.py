@@ -102,6 +102,12 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: s
     return left.join(right, list(keys), "full_outer").withColumn("status", status)
 
 
+def changed_columns(fields: dict[str, tuple[Column, Column, Column]]) -> Column:
+    """array<struct<field, before, proposed, accepted>> of the named (before, proposed, after) columns that the proposal changes."""
+    one = lambda k, a, b, c: F.when(~a.eqNullSafe(b), F.struct(F.lit(k).alias("field"), a.alias("before"), b.alias("proposed"), (b.isNotNull() & b.eqNullSafe(c)).alias("accepted")))
+    return F.array_compact(F.array(*[one(k, *columns) for k, columns in fields.items()]))
+
+
 def changed_fields(before: Column, proposed: Column, after_: Column) -> Column:
     """map of field -> (before, proposed, after, changed, accepted) for fields that the proposal changes."""
     keys = F.array_sort(F.array_distinct(F.concat(F.map_keys(before), F.map_keys(proposed))))

@@ -164,7 +164,7 @@ def priority_by_hours(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", D.priority_by_hours(left, p == "1-URGENT", p == "2-HIGH").alias("priority"))
 
 
-@query("SELECT l_orderkey, l_linenumber, least(60 * pow(2, greatest(l_quantity::INT - 1, 0)), 21600)::BIGINT AS wait FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, least(300 * pow(2, greatest(l_quantity::INT - 1, 0)), 21600)::BIGINT AS wait FROM lineitem")
 def retry_backoff(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.retry_seconds(F.col("l_quantity").cast("int")).alias("wait"))
 
@@ -189,9 +189,9 @@ def quarantine_summary(spark, sf_dir):
     return g.withColumn("status", F.when(F.col("attempts") >= 80, "dead").when(F.col("attempts") >= 60, "quarantined").otherwise("failed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) FILTER (l_discount = 0) OVER () AS missing_discount, l_quantity <= 1000 AND l_quantity > 0 AS quantity_ok FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, count(*) FILTER (l_discount = 0) OVER () AS missing_discount, l_quantity <= 1000 AND l_quantity > 0 AS quantity_ok FROM lineitem")
 def outbox_validation(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    l = read(spark, sf_dir, "lineitem")
     total = F.broadcast(l.agg(F.count_if(F.col("l_discount") == 0).alias("missing_discount")))  # one row
     ok = N.check_quantity(F.col("l_quantity").cast("string"))["error"].isNull()
     return l.join(total, F.lit(True)).select("l_orderkey", "l_linenumber", "missing_discount", ok.alias("quantity_ok"))

@@ -44,7 +44,9 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("keys"))
 
 
-@query()
+@query("""WITH l AS (SELECT user_id AS uid, event_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'retry' ELSE 'fail' END AS o FROM events), k AS (SELECT uid, max(event_id) AS last_event, coalesce(max(event_id) FILTER (o = 'ok'), -1) AS ok_at, max(event_id) FILTER (o <> 'retry') AS set_at, coalesce(max(event_id) FILTER (o = 'retry'), -1) AS retry_at FROM l GROUP BY 1)
+, n AS (SELECT k.*, (SELECT count(*) FROM l WHERE l.uid = k.uid AND o = 'fail' AND event_id > ok_at) AS attempts FROM k)
+SELECT uid, attempts, CASE WHEN set_at IS NULL THEN 'new' WHEN set_at = ok_at THEN 'fetched' WHEN attempts >= 5 THEN 'dead' WHEN attempts < 3 THEN 'failed' WHEN retry_at > set_at THEN 'retry_pending' ELSE 'quarantined' END AS status, last_event FROM n""")
 def uid_state(spark, sf_dir):
     outcome = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "retry").otherwise("fail")
     log = _events(spark, sf_dir).select(F.col("user_id").alias("uid"), "event_id", outcome.alias("outcome"))
@@ -53,9 +55,11 @@ def uid_state(spark, sf_dir):
     return flows.states_of(spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true)::INT AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::VARCHAR AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
-    return _collected(spark, flows.sessions(_events(spark, sf_dir), "user_id", "6 hours"))
+    out = _collected(spark, flows.sessions(_events(spark, sf_dir), "user_id", "6 hours"))
+    return out.withColumn("start", F.col("start").cast("string"))
 
 
 @query("""WITH w AS (SELECT unnest(range(0, 24)) AS k), e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR * (k + 1) AS until FROM events, w)

@@ -36,10 +36,10 @@ def normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(X.clean_ws(X.norm(F.col("text")))).alias("norm"), X.clean_ws(F.col("text"), 80).alias("short"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, lower(text[1:120]) AS t FROM documents), w AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(t, '^(\s*(re|fw|fwd|отв|пер)\s*:)+', ' '), '[0-9]{5,12}', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM s)
+@query(r"""WITH s AS (SELECT doc_id, lower(text) AS t FROM documents), w AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(t, '^(\s*(re|fw|fwd|отв|пер)\s*:)+', ' '), '[0-9]{5,12}', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM s)
 SELECT doc_id, array_to_string(list_filter(w, lambda x: length(x) > 2 AND x NOT IN ('для', 'по', 'от', 'на', 'the', 'and', 'for', 'of', 'with'))[1:8], ' ') AS template FROM w""")
 def subject_template(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.subject_template(F.substring("text", 1, 120)).alias("template"))
+    return _docs(spark, sf_dir).select("doc_id", X.subject_template(F.col("text")).alias("template"))
 
 
 @query("""WITH v AS (SELECT doc_id, contains(lower(text), 'idiot')::INT + contains(lower(text), 'licensed under')::INT + contains(lower(text), 'garbage')::INT AS defect, contains(lower(text), 'reserved')::INT + contains(lower(text), 'trash')::INT + contains(lower(text), 'loser')::INT AS shortage, contains(lower(text), 'license')::INT + contains(lower(text), 'pathetic')::INT AS damage FROM documents)
@@ -65,7 +65,7 @@ def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", M.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT p_partkey, 'P-' || p_partkey AS part_number, p_name AS product_name, p_size::VARCHAR AS quantity FROM part")
 def html_table_items(spark, sf_dir):
     made = F.concat(F.lit("<table><tr><th>Part number</th><th>Name</th><th>Qty</th></tr><tr><td>P-"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit("</td><td><b>"), F.col("p_size").cast("string"), F.lit("</b></td></tr></table>"))
     items = read(spark, sf_dir, "part").select("p_partkey", F.explode(M.product_items(M.table_rows(made))).alias("item"))
@@ -89,14 +89,13 @@ def json_path_filter(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, x.field AS field, x.old AS before, x.new AS proposed, x.new = x.fin AS accepted FROM (SELECT l_orderkey, l_linenumber, unnest([{'field': 'flag', 'old': l_returnflag, 'new': CASE WHEN l_linestatus = 'O' THEN 'N' ELSE l_returnflag END, 'fin': 'N'},
-{'field': 'status', 'old': l_linestatus, 'new': CASE WHEN l_linenumber > 3 THEN 'F' ELSE l_linestatus END, 'fin': l_linestatus}]) AS x FROM lineitem WHERE l_linenumber IN (2, 4)) WHERE x.old <> x.new""")
+{'field': 'status', 'old': l_linestatus, 'new': CASE WHEN l_linenumber > 3 THEN 'F' ELSE l_linestatus END, 'fin': l_linestatus}]) AS x FROM lineitem) WHERE x.old <> x.new""")
 def field_diff(spark, sf_dir):
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    before = F.create_map(F.lit("flag"), flag, F.lit("status"), status)
-    proposed = F.create_map(F.lit("flag"), F.when(status == "O", "N").otherwise(flag), F.lit("status"), F.when(F.col("l_linenumber") > 3, "F").otherwise(status))
-    final = F.create_map(F.lit("flag"), F.lit("N"), F.lit("status"), status)
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber in (2, 4)")
-    return rows.select("l_orderkey", "l_linenumber", F.explode(T.changed_fields(before, proposed, final)).alias("field", "d")).select("l_orderkey", "l_linenumber", "field", "d.before", "d.proposed", "d.accepted")
+    new_flag, new_status = F.when(status == "O", "N").otherwise(flag), F.when(F.col("l_linenumber") > 3, "F").otherwise(status)
+    fields = {k: (a, b, c) for k, a, b, c in (("flag", flag, new_flag, F.lit("N")), ("status", status, new_status, status))}
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.inline(T.changed_columns(fields)))
 
 
 @query("SELECT sha256(text) AS content, min(doc_id) AS first_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS folders FROM documents GROUP BY 1")
@@ -105,11 +104,11 @@ def exact_duplicates(spark, sf_dir):
     return C.exact_duplicates(d, ["content"], "doc_id", "source").withColumn("folders", F.array_join("folders", ","))
 
 
-@query(r"""WITH k AS (SELECT doc_id, regexp_replace(lower(text[1:60]), '\s+', ' ', 'g') AS key, sha256(text) AS content FROM documents), o AS (SELECT key, content, min(doc_id) AS id FROM k GROUP BY ALL)
+@query(r"""WITH k AS (SELECT doc_id, sha256(lower(trim(string_split(text, chr(10))[1]))) AS key, sha256(text) AS content FROM documents WHERE text IS NOT NULL), o AS (SELECT key, content, min(doc_id) AS id FROM k GROUP BY ALL)
 SELECT id, min(id) OVER (PARTITION BY key) AS duplicate_of FROM o QUALIFY id <> duplicate_of""")
 def semantic_duplicates(spark, sf_dir):
-    key = F.regexp_replace(F.lower(F.substring("text", 1, 60)), r"\s+", " ")
-    d = _docs(spark, sf_dir).select("doc_id", key.alias("key"), F.sha2("text", 256).alias("content"))
+    key = F.sha2(F.lower(F.trim(F.get(F.split("text", "\n"), F.lit(0)))), 256)  # the whole first line stands for the message id
+    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", key.alias("key"), F.sha2("text", 256).alias("content"))
     return C.semantic_duplicates(d, "key", "content", "doc_id")
 
 
@@ -158,7 +157,8 @@ def outbox_idempotent(spark, sf_dir):
     return first.agg(F.count("*").alias("appended")).join(C.append_new(events, every).agg(F.count("*").alias("second_run")), F.lit(True))
 
 
-@query()
+@query("""SELECT o_orderkey AS case_id, to_json({'case_id': o_orderkey, 'source': {'customer': o_custkey, 'received': strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')}, 'items': items, 'totals': {'positions': len(items), 'amount': round(list_sum(list_transform(items, lambda x: x.amount)), 2)}, 'internal': {'state': o_orderstatus}})::VARCHAR AS document
+FROM orders JOIN (SELECT l_orderkey, list({'line': l_linenumber, 'part': l_partkey, 'quantity': l_quantity, 'amount': round(l_extendedprice, 2)} ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def export_document(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_orderdate").cast("string").alias("received"), F.col("o_orderstatus").alias("state"))
     cases = _cases(spark, sf_dir).join(o, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("case_id", F.col("o_orderkey"))

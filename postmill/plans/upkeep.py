@@ -65,15 +65,13 @@ def cases_with_last_event(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(last, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "n", "last_flag")
 
 
-@query("""SELECT c_custkey, c_name, o_orderkey, o_orderstatus, (SELECT string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines
-FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey BETWEEN 5 AND 40""")
+@query("""SELECT c_custkey, c_name, o_orderkey, o_orderstatus, lines
+FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def id_trace(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey between 5 and 40").select("c_custkey", "c_name")
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus").where("c_custkey between 5 and 40")
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    nested = o.join(lines, "o_orderkey", "left").groupBy("o_orderkey", "c_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))
-    text = F.array_join(F.col("l").cast("array<string>"), ",")
-    return c.join(nested, "c_custkey").select("c_custkey", "c_name", "o_orderkey", "o_orderstatus", F.when(F.size("l") > 0, text).alias("lines"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("lines"))
+    return c.join(o.join(lines, "o_orderkey", "left"), "c_custkey").select("c_custkey", "c_name", "o_orderkey", "o_orderstatus", "lines")
 
 
 @query("""WITH s AS (SELECT event_type, user_id, bool_or(event_id % 2 = 0) AS l, bool_or(event_id % 3 = 0) AS r FROM events GROUP BY ALL)
@@ -185,7 +183,7 @@ def last_samples(spark, sf_dir):
     return g.select("user_id", F.array_join(F.col("l.event_id").cast("array<string>"), ",").alias("last_five"))
 
 
-@query("SELECT user_id, event_id, row_number() OVER w AS attempt, (ts + INTERVAL 1 SECOND * least(60 * pow(2, row_number() OVER w - 1), 21600))::VARCHAR AS next_at FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT user_id, event_id, row_number() OVER w AS attempt, (ts + INTERVAL 1 SECOND * least(300 * pow(2, row_number() OVER w - 1), 21600))::VARCHAR AS next_at FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def delivery_attempts(spark, sf_dir):
     e = read(spark, sf_dir, "events").where("event_type = 'click'")
     e = e.withColumn("attempt", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
@@ -288,7 +286,7 @@ def search_query_types(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.query_type(text).alias("kind"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 1 THEN p_size * 10.5 END::DOUBLE AS price, CASE p_partkey % 5 WHEN 0 THEN 'not_a_number' WHEN 1 THEN 'not_positive' END AS error FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 1 THEN p_size * 10.5 END::DOUBLE AS price, CASE p_partkey % 5 WHEN 0 THEN 'has_letters' WHEN 1 THEN 'not_positive' END AS error FROM part")
 def price_checks(spark, sf_dir):
     k = F.col("p_partkey") % 5
     text = F.when(k == 0, "по запросу").when(k == 1, "0").otherwise(F.concat(F.translate((F.col("p_size") * F.lit(10.5)).cast("decimal(10,2)").cast("string"), ".", ","), F.lit(" руб.")))

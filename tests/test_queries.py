@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from postmill.plans import relational, reports, streams, texts, upkeep
+from postmill.plans import judged, relational, reports, streams, texts, upkeep
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = relational.QUERIES | reports.QUERIES | texts.QUERIES | upkeep.QUERIES | streams.QUERIES
-SQL = relational.SQL | reports.SQL | texts.SQL | upkeep.SQL | streams.SQL
+QUERIES = relational.QUERIES | reports.QUERIES | texts.QUERIES | upkeep.QUERIES | judged.QUERIES | streams.QUERIES
+SQL = relational.SQL | reports.SQL | texts.SQL | upkeep.SQL | judged.SQL | streams.SQL
 
 
 @pytest.fixture(scope="module")
