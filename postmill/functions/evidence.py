@@ -2,7 +2,7 @@
 
 Every evaluator gives struct(status, source, snippet, method, warnings). Texts are a list of (name of source, column), in
 order of preference. Occurrences of a value become rows, are judged one by one and reduced to a row an id by partial
-aggregates; ids are distinct. The context of an occurrence ends at the next occurrence of the same value.
+aggregates; ids are distinct. A context reaches over the two nearest occurrences of the same value on each side.
 """
 
 from __future__ import annotations
@@ -50,13 +50,23 @@ def occurrences(texts: Texts, value: Column, edge: str, radius: int = 110) -> Co
     """array<struct<source, before, after>>: the context of each occurrence of a value that no character of ``edge`` touches."""
     found = []
     for name, text in texts:
-        pieces = F.split(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?i)\Q"), value, F.lit(r"\E")), -1)
+        pieces = F.split(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?iu)\Q"), value, F.lit(r"\E")), -1)
         # neighbours side by side, as a lambda would split the text again for each of its elements
-        found.append(F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), _around(name, radius)))
+        n = F.size(pieces)
+        none = F.lit(None).cast("string")
+        back = lambda k, p=pieces, n=n: F.concat(F.array_repeat(none, F.least(F.lit(k), n - 1)), F.slice(p, 1, F.greatest(n - 1 - k, F.lit(0))))
+        ahead = lambda k, p=pieces, n=n: F.concat(F.slice(p, F.least(F.lit(k), n) + 1, F.greatest(n - k, F.lit(0))), F.array_repeat(none, F.least(F.lit(k - 1), n - 1)))
+        before = F.zip_with(F.zip_with(back(2), back(1), _joined(value)), back(0), _joined(value))
+        after = F.zip_with(F.zip_with(ahead(1), ahead(2), _joined(value)), ahead(3), _joined(value))
+        found.append(F.zip_with(before, after, _around(name, radius)))
     every = F.filter(F.concat(*found), lambda o: ~o["before"].rlike(f"[{edge}]$") & ~o["after"].rlike(f"^[{edge}]"))
     return F.when(F.length(F.trim(value)) > 0, every).otherwise(F.slice(every, 1, 0))
 
 
+def _joined(value: Column):
+    return lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.concat(a, value, b))
+
+
 def _around(name: str, radius: int):
     return lambda a, b: F.struct(F.lit(name).alias("source"), F.right(a, F.lit(radius)).alias("before"), F.substring(b, 1, radius).alias("after"))
 
@@ -137,17 +147,17 @@ def quantity_evidence(rows: DataFrame, id_col: str, value: Column, part: Column,
     number = _number(value)
     whole = F.when(number.isNull(), F.lit(None).cast("string")).when(number == F.floor(number), number.cast("long").cast("string")).otherwise(F.regexp_replace(F.trim(value), ",", "."))
     some = lambda x: F.coalesce(F.lower(F.trim(x)), F.lit(""))
-    cell = lambda c: _number(F.regexp_extract(c["cell"], rf"(?i)^\s*(\d+(?:[.,]\d+)?)\s*{unit}?\s*$", 1)) == number
+    cell = lambda c: _number(F.regexp_extract(c["cell"], rf"(?iu)^\s*(\d+(?:[.,]\d+)?)\s*{unit}?\s*$", 1)) == number
     mine = lambda c: (F.length(some(part)) > 0) & F.exists(c["row"], lambda x: x.contains(some(part)))
     table = F.filter(cells_under(rows_of(html, texts[-1][1]), QUANTITY_COLUMNS), lambda c: F.coalesce(cell(c), F.lit(False)) & (c["under"] | mine(c)))
     found = _found(rows, id_col, whole, texts, r"\d.,", 110, table=_table_row(table), shape=F.lit(""), part=some(part), product=some(product), document=some(document))
     before, after, here = F.col("before"), F.col("after"), F.concat("before", "v", "after")
-    labelled = before.rlike(rf"(?i){label}{_BETWEEN}$")
-    pieces = after.rlike(rf"(?i)^\s*{unit}($|\W)") | (before.rlike(rf"(?i){unit}{_BETWEEN}$") & ~before.rlike(rf"(?i)\d\s*{unit}{_BETWEEN}$"))
+    labelled = before.rlike(rf"(?iu){label}{_BETWEEN}$")
+    pieces = after.rlike(rf"(?iu)^\s*{unit}($|\W)") | (before.rlike(rf"(?iu){unit}{_BETWEEN}$") & ~before.rlike(rf"(?iu)\d\s*{unit}{_BETWEEN}$"))
     has_part = ((F.length("part") > 0) & F.lower(here).contains(F.col("part"))) | ((F.length("product") >= 4) & F.lower(here).contains(F.col("product")))
-    named = F.size(F.array_distinct(F.regexp_extract_all(here, F.lit(rf"(?i){label}{_BETWEEN}(\d+(?:[.,]\d+)?)"), 1)))
+    named = F.size(F.array_distinct(F.regexp_extract_all(here, F.lit(rf"(?iu){label}{_BETWEEN}(\d+(?:[.,]\d+)?)"), 1)))
     fits = (labelled | pieces) & (F.col("document") != F.col("v"))
-    kind = F.when(~fits, "").when(has_part & here.rlike(rf"(?i){PART_LABEL}"), "compact_item_line").when(has_part, "part_quantity_pair").when(labelled, "quantity_label").otherwise("piece_unit")
+    kind = F.when(~fits, "").when(has_part & here.rlike(rf"(?iu){PART_LABEL}"), "compact_item_line").when(has_part, "part_quantity_pair").when(labelled, "quantity_label").otherwise("piece_unit")
     score = F.when(dangerous_number(before, after) & ~labelled & ~pieces, 0).otherwise(F.element_at(F.create_map(*[F.lit(x) for x in ("", 0, "compact_item_line", 50, "part_quantity_pair", 45, "quantity_label", 35, "piece_unit", 30)]), kind))
     j = _verdicts(found, score, kind, X.clean_ws(here), fits & (named > 1))
     weak = F.when(F.col("v") == "1", "quantity_1_without_context").otherwise("quantity_without_context")
@@ -187,9 +197,9 @@ def part_evidence(rows: DataFrame, id_col: str, value: Column, product: Column,
     found = _found(rows, id_col, v, texts, r"\p{L}\p{N}", 120, table=_table_row(table), shape=shape, product=name, amount=F.coalesce(F.trim(quantity), F.lit("")))
     odd, amount = F.col("shape").isin("phone", "date", "email"), F.col("amount")
     here = X.clean_ws(F.concat("before", "v", "after"))
-    item = F.concat(F.lit(rf"(?i)({quantity_label}[:=,—\s-]*\Q"), amount, F.lit(rf"\E([^\d]|$))|((^|[^\d])\Q"), amount, F.lit(rf"\E\s*{unit})"))
-    danger = X.contains_any(here, DOCUMENT_WORDS + CLAIM_WORDS) & ~here.rlike(rf"(?i){label}")
-    kind = F.when(~odd & F.col("before").rlike(rf"(?i){label}{_BETWEEN}\*?\s*$"), 3)
+    item = F.concat(F.lit(rf"(?iu)({quantity_label}[:=,—\s-]*\Q"), amount, F.lit(rf"\E([^\d]|$))|((^|[^\d])\Q"), amount, F.lit(rf"\E\s*{unit})"))
+    danger = X.contains_any(here, DOCUMENT_WORDS + CLAIM_WORDS) & ~here.rlike(rf"(?iu){label}")
+    kind = F.when(~odd & F.col("before").rlike(rf"(?iu){label}{_BETWEEN}\*?\s*$"), 3)
     kind = kind.when((F.col("shape") == "") & (F.length(amount) > 0) & F.regexp_like(here, item) & here.rlike(r"\p{L}{3,}") & ~danger, 2)
     kind = kind.when((F.col("shape") == "") & (F.length("product") > 0) & X.evidence_norm(here).contains(F.col("product")) & ~danger, 1).otherwise(0)
     method = F.element_at(F.array(*map(F.lit, ("", "product_context", "compact_item_line", "part_label"))), kind + 1)

@@ -46,12 +46,12 @@ def html_to_text(x: Column) -> Column:
 
 def visible_body(x: Column) -> Column:
     """The text before the first header of quoted mail."""
-    quote = r"(?im)^\s*(-{2,}\s*(original message|исходное сообщение|пересылаемое сообщение)|from:|от:|.{0,80}(wrote|написал\(а\)|пишет):\s*$)"
+    quote = r"(?imu)^\s*(-{2,}\s*(original message|исходное сообщение|пересылаемое сообщение)|from:|от:|.{0,80}(wrote|написал\(а\)|пишет):\s*$)"
     return F.regexp_replace(F.try_element_at(F.split(F.coalesce(x, F.lit("")), quote, 2), F.lit(1)), r"^\s+|\s+$", "")
 
 
 def quote_markers(x: Column) -> Column:
-    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"(?im)^\s*(from:|от:|>|.{0,80}(wrote|написал\(а\)|пишет):)"))
+    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"(?imu)^\s*(from:|от:|>|.{0,80}(wrote|написал\(а\)|пишет):)"))
 
 
 def links(x: Column, most: int | None = 20) -> Column:

@@ -66,7 +66,7 @@ WORDS = {
     "before_shipping": ["запрос на снятие", "снять этот товар", "не поставлять", "снятие позиции", "до отгрузки", "не отгружать", "отмена заказа", "отмена позиции", "снять с заказа", "отказ от поставки", "до поставки", "не привозить", "отменить заказ", "отказ до получения"],
     "shipped": ["упд", "накладн", "счёт-фактур", "счет-фактур", "реализаци", "торг-12", "документ реализации"],
 }
-REPLY = r"(?i)^\s*(re|fw|fwd|отв|пер|ответ)\s*:"
+REPLY = r"(?iu)^\s*(re|fw|fwd|отв|пер|ответ)\s*:"
 
 
 def _has(x: Column) -> Column:
@@ -178,9 +178,13 @@ def required_evidence(kind: Column, strict: bool = True) -> Column:
     return F.struct((photo & F.lit(strict)).alias("photo"), ((kind == "defect") & F.lit(strict)).alias("service_document"))
 
 
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def defect_papers(names: Column) -> Column:
     """struct(state, missing): how many of the three papers of a defect the file names show; absent without any file."""
-    missing = F.array_compact(F.array(*[F.when(~F.exists(names, lambda x, p=pattern: x.rlike(p)), name) for name, pattern in DEFECT_PAPERS.items()]))
+    missing = F.array_compact(F.array(*[F.when(~F.exists(names, _like(pattern)), name) for name, pattern in DEFECT_PAPERS.items()]))
     state = F.when(F.size(names) == 0, "absent").when(F.size(missing) == 0, "complete").when(F.size(missing) < 3, "partial").otherwise("present_unverified")
     return F.struct(state.alias("state"), missing.alias("missing"))
 
