@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, decontaminate, embedding_join, html_text, line_dedup, near_dup, quality, revisits, shards, url_filter
+from postmill.llm import bpe, decontaminate, embedding_join, html_text, impact_index, line_dedup, near_dup, periodic, quality, revisits, shards, suffix_dedup, url_filter
 from postmill.llm.scratch import shared_dir
 
 
@@ -81,7 +81,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark, _read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_embedding_near_dedup, op3_revisits, op4_quality, op5_line_dedup, op6_decontamination, op7_bpe, op8_url_filter, op9_near_dedup, op10_html)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.ranked_search(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, _read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(spark, _read(spark, sf_dir, "documents"), plant=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_embedding_near_dedup, op3_revisits, op4_quality, op5_line_dedup, op6_decontamination, op7_bpe, op8_url_filter, op9_near_dedup, op10_html, op11_ranked_search, op12_suffix_dedup, op13_periodic_runs)}
 
 _REACH = """
 , linked AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs)
@@ -133,4 +145,26 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 , e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s)
 , pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))){_REACH}
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN top ON top.id = s.doc_id""",
+    "op11_ranked_search": r"""
+WITH plain AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents)
+, all_docs AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM plain WHERE len(w) > 0)
+, tf AS (SELECT row, doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, w, unnest(w) AS term FROM plain) GROUP BY ALL)
+, df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term)
+, asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL)
+, scored AS (SELECT item_id, row, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words)))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), all_docs WHERE doc_id IS NOT NULL GROUP BY item_id, row, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+    "op12_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER () AS row FROM documents)
+, pieces AS (SELECT row, doc_id, 256 * p AS base, substr(x, 512 * p + 1, 610) AS y FROM (SELECT row, doc_id, x, unnest(range(0, len(x) // 512 + 1)) AS p FROM d WHERE doc_id IS NOT NULL))
+, windows AS (SELECT row, doc_id, base, y, unnest(range(0, least(256, len(y) // 2 - 49))) AS k FROM pieces WHERE len(y) >= 100)
+, keyed AS (SELECT row, doc_id, base + k AS i, md5_number(substr(y, 2 * k + 1, 100)) AS s FROM windows)
+, least_doc AS (SELECT s, min(doc_id) AS lo FROM keyed GROUP BY s HAVING min(doc_id) < max(doc_id))
+, hits AS (SELECT row, i FROM keyed JOIN least_doc USING (s) WHERE lo < doc_id)
+, marked AS (SELECT row, i, max(i + 50) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits)
+, numbered AS (SELECT row, i, count_if(before IS NULL OR i > before) OVER (PARTITION BY row ORDER BY i) AS span FROM marked)
+, spans AS (SELECT row, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY row, span)
+, listed AS (SELECT row, count(*) AS n, sum(b - a) AS size, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY row)
+, kept AS (SELECT doc_id, x, n, size, CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(range(1, n + 2), lambda k: substr(x, 2 * (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1, 2 * ((CASE WHEN k > n THEN len(x) // 2 ELSE starts[k] END) - (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END)))), '') END AS rest FROM d LEFT JOIN listed USING (row))
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(size, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept""",
 }
