@@ -33,7 +33,7 @@ from postmill.llm.word_sets import mix
 LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text of a batch, of a group of documents and of a bucket of anchors; and the least number of groups and buckets.
-BATCH, GROUP, BUCKET, LEAST = 16 << 20, 4 << 20, 8 << 20, 64
+BATCH, GROUP, BUCKET, LEAST = 16 << 20, 4 << 20, 2 << 20, 64
 #: Documents that an anchor must have to be dealt out by whole strings; more in a larger corpus, so that at most 2^22 anchors have them.
 HOT = 2048
 #: Size in bytes up to which the spans of all documents are broadcast to the texts.
