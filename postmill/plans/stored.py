@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.operators import index as I
+from postmill.operators.threads import Threads
 from postmill.plans.relational import read
 from postmill.sources import versions as V
+from postmill.streaming import flows
 from postmill.streaming.flows import work_folder
 
 QUERIES, SQL = {}, {}
@@ -130,3 +133,27 @@ UNION ALL SELECT 'case', o_orderkey::VARCHAR, 60 FROM orders WHERE contains('ex'
 def text_found(spark, sf_dir):
     found = identifiers(spark, sf_dir).lookup("ALL Ri", limit=None)
     return found.select("entity", "id", F.when(F.col("value") == "smallring", 100).otherwise(F.col("score")).alias("score"))
+
+
+# threads
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, coalesce(o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 900, true)::INT AS fresh FROM orders), s AS (SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM o)
+SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, k) AS thread FROM s""")
+def thread_groups(spark, sf_dir):
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", before.alias("before"))
+    answers = F.when(F.col("o_orderkey") - F.col("before") <= 900, F.col("before"))
+    edges = o.select(F.col("o_orderkey").alias("a"), F.coalesce(answers, "o_orderkey").alias("b"))
+    threads = Threads(spark, work_folder(spark))
+    for k in range(2):  # replies come before what they answer as often as after
+        threads.extend(edges.where(F.pmod(F.xxhash64("a"), F.lit(2)) == k))
+    return threads.read().select(F.col("node").alias("o_orderkey"), F.col("component").alias("thread"))
+
+
+@query("SELECT n.user_id, n.event_id AS notice_id, r.event_id AS return_id FROM events n JOIN events r ON n.user_id = r.user_id AND r.ts >= n.ts - INTERVAL 20 MINUTE AND r.ts <= n.ts + INTERVAL 2 HOUR WHERE n.event_type = 'error' AND r.event_type = 'purchase'")
+def stream_late_links(spark, sf_dir):
+    e = lambda kind, name: flows.stream(spark, f"{sf_dir}/events.parquet").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{name}_id"), F.col("ts").cast("timestamp").alias(f"{name}_at"))
+    folder = work_folder(spark)
+    flows.to_parquet(flows.late_links(e("error", "notice"), e("purchase", "return"), "user_id", "20 minutes", "2 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("user_id", "notice_id", "return_id")

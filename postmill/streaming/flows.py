@@ -97,6 +97,18 @@ def states_of(log: DataFrame) -> DataFrame:
     return ends.withColumn("attempts", attempts).select(F.col("uid").cast("long").alias("uid"), "attempts", status.alias("status"), F.coalesce("last", F.lit(-1)).cast("long").alias("last_event"))
 
 
+def late_links(notices: DataFrame, returns: DataFrame, key: str, before: str = "30 days", after: str = "30 days", late: str = "1 day") -> DataFrame:
+    """(key, notice_id, return_id, notice_at, return_at): notices and returns of one key, whichever comes first, within a time of each other.
+
+    ``notices`` has (key, notice_id, notice_at), ``returns`` (key, return_id, return_at). A return may be ``before`` earlier
+    or ``after`` later than the notice. State of either side is dropped once the watermark is past what it can meet.
+    """
+    n = notices.withWatermark("notice_at", late).withColumnRenamed(key, "k1")
+    r = returns.withWatermark("return_at", late).withColumnRenamed(key, "k2")
+    near = F.expr(f"k1 = k2 and return_at >= notice_at - interval {before} and return_at <= notice_at + interval {after}")
+    return n.join(r, near, "inner").select(F.col("k1").alias(key), "notice_id", "return_id", "notice_at", "return_at")
+
+
 def run_once(rows: DataFrame, checkpoint: str, sink, mode: str = "append") -> None:
     """Run a stream over all that is there now; ``sink`` gets each batch and its number, and must be idempotent by number."""
     rows.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
