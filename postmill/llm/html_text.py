@@ -27,7 +27,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Regions that hold no main text, by element, and of other blocks by a word of class, id or role; and regions that do.
 OUTSIDE = frozenset("nav aside footer form menu dialog".split())
-OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination promo sidebar signup sponsored subscribe".split())
+OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo sidebar signup sponsored subscribe toast".split())
 INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article content entry main post story".split())
 #: Elements that a word of INSIDE_WORDS makes a main region; a heading, figure or inline element is none.
@@ -36,8 +36,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Places of a block: on a page without an article, inside the article, beside it.
 ALONE, WITHIN, BESIDE = 0, 1, 2
-#: Labelled blocks: place, heading, words, link density, words and link density of the block before, of the block after;
-#: then 1 for main text. First the neighbours that stand for none, a link, a line and a paragraph.
+#: Labelled blocks: place, heading, words, link density, words and link density of the block before, of the block after,
+#: the block's number of links; then 1 for main text. First the neighbours that stand for none, a link, a line and a paragraph.
 _NEAR = [(0, 0.0), (1, 1.0), (9, 0.0), (70, 0.0)]
 _PAIRS = [(before, after) for before in _NEAR for after in _NEAR]
 _LINKS = [((1, 1.0), (1, 1.0))]
@@ -51,13 +51,14 @@ _ALONE = [
     (0, 30, 0.6, 9, 0.0, 9, 0.0, 0), (1, 3, 1.0, 1, 1.0, 1, 1.0, 0), (0, 60, 0.8, 70, 0.0, 1, 1.0, 0), (0, 9, 0.5, 70, 0.0, 9, 0.0, 0),
 ]
 _LINKED = [(heading, words, dense, *before, *after, 0) for heading, words, dense in ((0, 2, 1.0), (0, 6, 1.0), (0, 30, 0.6), (0, 60, 0.8), (1, 6, 1.0)) for before, after in _PAIRS]
-#: Inside the article text is text, linked headings and longer linked lines too; link bars and runs of links are not.
+#: Inside the article text is text, linked headings and longer linked lines too; runs of links are not.
 _WITHIN = [
     *((heading, words, dense, *before, *after, 1) for heading in (0, 1) for words, dense in ((1, 0.0), (4, 0.0), (12, 0.3), (60, 0.0), (60, 0.5)) for before, after in _PAIRS),
     *((1, words, 1.0, *before, *after, 1) for words in (2, 8) for before, after in _PAIRS),
     *((0, words, 1.0, *before, *after, int((before, after) not in _LINKS)) for words in (8, 30) for before, after in _PAIRS),
-    *((0, words, 1.0, *before, *after, 0) for words in (1, 2, 4) for before, after in _PAIRS),
 ]
+#: A short line inside the article that is one link is text by itself, none beside another one; one of several links is none.
+_SHORT = [(0, words, 1.0, *before, *after, links, int(links == 1 and (1, 1.0) not in (before, after))) for words in (1, 2, 4) for before, after in _PAIRS for links in (1, 2)]
 #: Beside an article, long and link-free blocks are text, as are short ones between two long ones and headings before a
 #: long one; other short ones and link-dense ones are not.
 _BESIDE = [
@@ -68,7 +69,9 @@ _BESIDE = [
     *((1, 6, 0.0, *before, *after, 0) for before in _NEAR for after in _NEAR[:3]),
     *_LINKED,
 ]
-LABELLED = [(place, *row) for place, rows in ((ALONE, _ALONE + _LINKED), (WITHIN, _WITHIN), (BESIDE, _BESIDE)) for row in rows]
+#: The number of links decides nothing but there.
+LABELLED = [(place, *row[:-1], links, row[-1]) for place, rows in ((ALONE, _ALONE + _LINKED), (WITHIN, _WITHIN), (BESIDE, _BESIDE)) for row in rows for links in ((1, 2) if row[2] else (0,))]
+LABELLED += [(WITHIN, *row) for row in _SHORT]
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
@@ -167,23 +170,23 @@ def _region(name: str, has: dict[str, str], now: int) -> int:
     return 1 if words & INSIDE_WORDS and name in CONTAINERS else now
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
-    """The page's flat blocks: text (white space folded), region, heading or not, link density."""
-    out: list[tuple[str, int, int, float]] = []
+def blocks_of(page: str) -> list[tuple[str, int, int, float, int]]:
+    """The page's flat blocks: text (white space folded), region, heading or not, link density, number of links."""
+    out: list[tuple[str, int, int, float, int]] = []
     text: list[str] = []
-    linked = 0
+    linked = begun = 0
     stack: list[tuple[str, int, int]] = []  # element, region inside, silent
     opened: Counter[str] = Counter()  # how often each element is on the stack: what is not there is not looked for
     region = silent = links = heading = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, begun
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
-                out.append((words, region, heading, min(1.0, linked / max(1, words.count(" ") + 1))))
+                out.append((words, region, heading, min(1.0, linked / max(1, words.count(" ") + 1)), max(begun, int(linked > 0))))
             text.clear()
-        linked = 0
+        linked = begun = 0
 
     def say(part: str):
         nonlocal linked
@@ -254,6 +257,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
             region, silent = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
         if name == "a":
             links += 1
+            begun += 1
         heading = int(name in HEADINGS) or (heading if name not in BLOCKS else 0)
         has = _attributes(rest) if rest else {}
         inside = region if name == "form" and region != 2 and _page_wide(page, at) else _region(name, has, region)
@@ -269,16 +273,16 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def _kept(blocks: list[tuple[str, int, int, float]], tree, named: bool) -> list[str]:
+def _kept(blocks: list[tuple[str, int, int, float, int]], tree, named: bool) -> list[str]:
     """The blocks that the tree keeps, of those outside the regions left out; with ``named`` those left out by a name, too."""
     blocks = [b for b in blocks if b[1] < (3 if named else 4) and b[1] != 2]
     marked = any(b[1] == 1 for b in blocks)
     words = [0, *(b[0].count(" ") + 1 for b in blocks), 0]
     density = [0.0, *(b[3] for b in blocks), 0.0]
     kept = []
-    for k, (text, region, heading, _) in enumerate(blocks, 1):
+    for k, (text, region, heading, _, links) in enumerate(blocks, 1):
         place = WITHIN if region == 1 else BESIDE if marked else ALONE
-        if decide(tree, (place, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1])):
+        if decide(tree, (place, heading, words[k], density[k], words[k - 1], density[k - 1], words[k + 1], density[k + 1], links)):
             kept.append(text)
     return kept
 

@@ -110,3 +110,34 @@ def test_many_unclosed_tags_are_read_in_one_pass():
 def test_outside_stays_outside():
     page = f'<body><nav><article>{LONG}</article></nav>{ARTICLE}<div class="comments"><article class="comment"><p>{LONG}</p></article></div><form><label>Mail</label></form><div class="ad">{LONG}</div></body>'
     assert text(page) == f"T\n{LONG}"
+
+
+def test_a_short_linked_line_in_an_article_stays_and_runs_of_links_go():
+    page = f'<article><p>{LONG}</p><p><a href="/a">Read it</a></p><p>{LONG}</p><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li><li><a href="/3">Three</a></li></ul></article>'
+    assert text(page) == f"{LONG}\nRead it\n{LONG}"
+
+
+def test_a_notice_beside_the_article_goes():
+    notice = "We use things to improve your visit and measure what people read here so that we can pay for it and show what you like best of all"
+    assert text(f'<body><div id="main"><p>{LONG}</p></div><div class="gdpr"><p>{notice}</p></div></body>') == LONG
+
+
+def test_texts_of_the_pages_are_the_blocks_of_their_articles():
+    """Another reading: the parts of the marked article between its block tags, without the elements and names left out."""
+    import html as entities
+    import re
+
+    import pyarrow.parquet as pq
+
+    bad = right = all_ = 0
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        found = re.search(r"(?s)<article\b[^>]*>(.*)</article>", row["html"] or "")
+        if not found:
+            continue
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style|nav|aside|form|footer)\b.*?</\1>|<(div|section|p)[^>]*\b(?:class|id)=[\"'][^\"']*\b(?:ad|ads|comments?|sidebar|notice|cookie|share)\b[^>]*>.*?</\2>", "\n\x00", found[1])
+        lines = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", part)).replace("\x00", "").split()) for part in re.split(r"</?(?:p|div|h[1-6]|ul|ol|li|section|header|figure|figcaption|blockquote|table|tr|td|pre)\b[^>]*>|\x00", body)]
+        want, got = [x for x in lines if x], text(row["html"]).split("\n")
+        right += len(set(want) & set(got))
+        all_ += len(set(want))
+        bad += len(set(got) - set(want))
+    assert all_ > 500 and right / all_ >= 0.98 and bad / max(1, right) <= 0.02
