@@ -103,9 +103,9 @@ class ShardStore:
             run = next((tiers[t] for t in sorted(tiers, reverse=True) if len(tiers[t]) >= self.fan_in), None)
             if run is None:
                 break
-            # a tier goes as one job; its files become as many as the target size asks, at least fan_in times fewer
+            # a tier goes as one job; its files become as many as the target size asks, fewer than before, as each is half of it at most
             total = sum(s["bytes"] for s in run)
-            files = max(1, min(-(-total // self.target), len(run) // self.fan_in))
+            files = max(1, -(-total // self.target))
             new = self._write(self._rows(base["schema"], run).coalesce(files))
             self._same_count(base["schema"], new, run)
             taken = {s["path"] for s in run}
