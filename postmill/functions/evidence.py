@@ -2,7 +2,7 @@
 
 Every evaluator gives struct(status, source, snippet, method, warnings). Texts are a list of (name of source, column), in
 order of preference. Occurrences of a value become rows, are judged one by one and reduced to a row an id by partial
-aggregates; ids are distinct. A context reaches over the two nearest occurrences of the same value on each side.
+aggregates; ids are distinct. A text is cut at its value once; contexts are whole, however often the value stands in them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as X
 from postmill.functions.markup import table_rows
+from postmill.operators.spans import held
 
 #: Patterns of labels and units, and words of columns, prices and documents.
 QUANTITY_LABEL = r"(?:количеств[а-яё]*(?:\s+(?:претензи[ия]|возврата?))?|кол-во|кол\.|к-во|qty|quantity)"
@@ -28,6 +29,8 @@ CLAIM_WORDS = ["претензи", "заявк", "обращени", "рекла
 #: Status by the label that is nearest to a document number.
 DOCUMENT_STATUS = [("упд", "confirmed_by_upd_context"), ("счет-фактур", "confirmed_by_invoice_context"), ("с/ф", "confirmed_by_invoice_context"), ("invoice", "confirmed_by_invoice_context"), ("накл", "confirmed_by_waybill_context"), ("торг-12", "confirmed_by_waybill_context"), ("waybill", "confirmed_by_waybill_context"), ("реализац", "confirmed_by_realization_context")]
 
+#: Characters around a phrase of a kind in which a phrase of another kind is a conflict.
+NEAR_KINDS = 160
 _BETWEEN = r"\s*[:=—| -]*\s*"
 Texts = Sequence[tuple[str, Column]]
 
@@ -42,7 +45,7 @@ def _finding(status, source="none", snippet="", method="", warnings: Sequence =
 def _staged(rows: DataFrame, out: str, steps: dict[str, Column], verdict: Column) -> DataFrame:
     """``rows`` with ``out``: each step is a column of its own first, so that what is used often is computed once."""
     for name, column in steps.items():
-        rows = rows.withColumn(name, column)
+        rows = held(rows.withColumn(name, column), name)
     return rows.withColumn(out, verdict).drop(*steps)
 
 
@@ -116,11 +119,37 @@ def _number(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), ",", ".").try_cast("double")
 
 
+def occurrence_rows(rows: DataFrame, keep: Sequence[str], value: str, texts: Texts, edge: str, radius: int = 110) -> DataFrame:
+    """(``keep``, at, source, before, after): a row for each place of the column ``value`` in the texts that no character of ``edge`` touches.
+
+    ``at`` orders the places of a row; a text without one gives a row with a null ``at``. Case is ignored; an empty or null
+    value is nowhere. Contexts have up to ``radius`` characters on each side.
+    """
+    v = F.col(value)
+    every = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(name).alias("source"), F.coalesce(text, F.lit("")).alias("_text")) for k, (name, text) in enumerate(texts)])
+    # of a long piece only its ends are in a context
+    ends = lambda p: F.when(F.length(p) > 2 * radius, F.concat(F.left(p, F.lit(radius)), F.right(p, F.lit(radius)))).otherwise(p)
+    pieces = F.when(F.length(F.trim(v)) > 0, F.transform(F.split("_text", F.concat(F.lit(r"(?iu)\Q"), v, F.lit(r"\E")), -1), ends))
+    cut = held(rows.select(*keep, F.inline(every)).withColumn("_pieces", pieces), "_pieces")
+    many = F.floor(F.lit(radius) / F.length(v)).cast("int") + 2  # pieces that a context can reach
+    n = F.size("_pieces")
+
+    def spot(i: Column) -> Column:
+        begin = F.greatest(F.lit(1), i - many)
+        before = F.right(F.call_function("array_join", F.slice("_pieces", begin, i - begin + 1), v), F.lit(radius))
+        return F.struct(before.alias("before"), F.left(F.call_function("array_join", F.slice("_pieces", i + 1, many), v), F.lit(radius)).alias("after"))
+
+    spots = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), spot))
+    free = F.filter(spots, lambda o: ~o["before"].rlike(f"[{edge}]$") & ~o["after"].rlike(f"^[{edge}]"))
+    found = cut.select(*keep, "_k", "source", F.posexplode_outer(free).alias("_i", "_o"))
+    return found.select(*keep, (F.col("_k").cast("long") * (1 << 32) + F.col("_i")).alias("at"), "source", "_o.*")
+
+
 def _found(rows: DataFrame, id_col: str, value: Column, texts: Texts, edge: str, radius: int, **more: Column) -> DataFrame:
-    """(id, v, each of ``more``, at, source, before, after): a row an occurrence, or one with a null ``at`` where there is none."""
+    """(id, v, each of ``more``, at, source, before, after): a row an occurrence, or one with a null ``at`` for a text without one."""
     kept = rows.select(F.col(id_col).alias("id"), value.alias("v"), *[c.alias(k) for k, c in more.items()], *[t.alias(f"t{k}") for k, (_, t) in enumerate(texts)])
     named = [(name, F.col(f"t{k}")) for k, (name, _) in enumerate(texts)]
-    return kept.select("id", "v", *more, F.posexplode_outer(occurrences(named, F.col("v"), edge, radius)).alias("at", "o")).select("id", "v", *more, "at", "o.*")
+    return occurrence_rows(held(kept, "v", *more), ["id", "v", *more], "v", named, edge, radius)
 
 
 def _verdicts(found: DataFrame, score: Column, method: Column, snippet: Column, conflict: Column | None = None) -> DataFrame:
@@ -258,8 +287,9 @@ def document_candidate(texts: Texts, positive: Sequence[str] = DOCUMENT_WORDS, n
     return F.get(numbers, F.lit(0))
 
 
-def _mentions(phrases: Sequence[str]):
-    return lambda o: X.contains_any(F.concat_ws(" ", o["before"], o["after"]), phrases)
+def _holds(low: Column, phrases: Sequence[str]) -> Column:
+    """How many of the phrases a text holds that is normal already, so that it is not normalised once a phrase."""
+    return sum((low.contains(p.lower()).cast("int") for p in phrases), F.lit(0))
 
 
 def kinds_found(text: Column, rules: dict[str, Sequence[str]]) -> Column:
@@ -273,7 +303,7 @@ def kind_evidence(rows: DataFrame, out: str, value: Column, texts: Texts, html:
     cells = F.transform(F.filter(cells_under(F.col("_rows"), labels), lambda c: c["under"]), lambda c: F.struct(kinds_found(c["cell"], rules).alias("kinds"), F.array_join(c["row"], " | ").alias("snippet")))
     said = F.transform(F.regexp_extract_all(combined, F.lit(rf"(?iu)(?:{'|'.join(labels)})\s*[:=—| -]{{1,12}}([^\n\r]{{1,180}})"), 1), lambda s: F.struct(kinds_found(s, rules).alias("kinds"), X.clean_ws(s).alias("snippet")))
     some = lambda found: F.get(F.filter(found, lambda f: F.size(f["kinds"]) > 0), F.lit(0))
-    steps = {"_rows": rows_of(html, texts[-1][1]), "_table": some(cells), "_label": some(said), "_kinds": kinds_found(combined, rules)}
+    steps = {"_rows": rows_of(html, texts[-1][1]), "_table": some(cells), "_label": some(said), "_low": X.norm(combined), "_kinds": F.array_compact(F.array(*[F.when(_holds(F.col("_low"), phrases) > 0, kind) for kind, phrases in rules.items()])), "_norm": X.evidence_norm(combined)}
     return _staged(rows, out, steps, _kind(value, F.col("_table"), F.col("_label"), F.col("_kinds"), combined, rules, weak, contract))
 
 
@@ -282,12 +312,9 @@ def _kind(value: Column, table: Column, label: Column, every: Column, combined:
     alone = lambda f: (F.size(f["kinds"]) == 1) & F.array_contains(f["kinds"], value)
     near = F.lit(False)
     for kind, phrases in rules.items():
-        others = [p for k, ps in rules.items() if k != kind for p in ps]
-        close = F.lit(False)
-        for phrase in phrases:
-            spots = occurrences([("body", X.evidence_norm(combined))], F.lit(phrase), "\u0000", 160)
-            close = close | F.exists(spots, _mentions(others))
-        near = F.when(value == kind, close).otherwise(near)
+        others = [q for k, ps in rules.items() if k != kind for q in ps if len(q) <= NEAR_KINDS]
+        sides = [rf"\Q{p}\E[\s\S]{{0,{NEAR_KINDS - len(q)}}}\Q{q}\E|\Q{q}\E[\s\S]{{0,{NEAR_KINDS - len(q)}}}\Q{p}\E" for p in phrases for q in others]
+        near = F.when(value == kind, F.col("_norm").rlike("|".join(sides)) if sides else F.lit(False)).otherwise(near)
     clash = lambda f, method: _finding("conflict_reason_detected", "table" if method == "table_reason_column" else "body", f["snippet"], method, ["claim_kind_conflict"])
     has = F.array_contains(every, value)
     return (
@@ -297,10 +324,10 @@ def _kind(value: Column, table: Column, label: Column, every: Column, combined:
         .when(table.isNotNull(), clash(table, "table_reason_column"))
         .when(label.isNotNull() & alone(label), _finding("confirmed_by_reason_label", "body", label["snippet"], "reason_label"))
         .when(label.isNotNull(), clash(label, "reason_label_conflict"))
-        .when((~has & (F.size(every) > 0)) | (has & near), _finding("conflict_reason_detected", "body", X.clean_ws(combined, 360), "conflict_detection", ["claim_kind_conflict"]))
-        .when(X.contains_any(combined, contract), _finding("confirmed_by_supplier_contract", "body", X.clean_ws(combined, 360), "supplier_contract"))
+        .when((~has & (F.size(every) > 0)) | (has & (F.size(every) > 1) & near), _finding("conflict_reason_detected", "body", X.clean_ws(combined, 360), "conflict_detection", ["claim_kind_conflict"]))
+        .when(_holds(F.col("_low"), contract) > 0, _finding("confirmed_by_supplier_contract", "body", X.clean_ws(combined, 360), "supplier_contract"))
         .when(has, _finding("confirmed_by_explicit_reason", "body", X.clean_ws(combined, 360), "explicit_reason"))
-        .when(X.contains_any(combined, weak), _finding("weak_generic_refusal", "body", X.clean_ws(combined, 360), "generic_reason", ["claim_kind_generic_refusal"]))
+        .when(_holds(F.col("_low"), weak) > 0, _finding("weak_generic_refusal", "body", X.clean_ws(combined, 360), "generic_reason", ["claim_kind_generic_refusal"]))
         .otherwise(_finding("weak_found", warnings=["claim_kind_without_explicit_evidence"]))
     )
 
@@ -354,13 +381,14 @@ def date_candidates(rows: DataFrame, id_col: str, texts: Texts, number: Column,
     every = F.array(*[F.struct(F.lit(name).alias("name"), F.coalesce(text, F.lit("")).alias("text")) for name, text in texts])
     kept = rows.select(F.col(id_col).alias("id"), F.lower(F.trim(F.coalesce(number, F.lit("")))).alias("doc"), F.explode(every).alias("t"))
     written = kept.select("id", "doc", "t", F.explode(F.array_distinct(F.regexp_extract_all("t.text", pattern, 1))).alias("w"))
-    found = written.select("id", "doc", "w", F.col("t.name").alias("name"), F.explode(occurrences([("t", F.col("t.text"))], F.col("w"), r"\d")).alias("o"))
+    written = written.select("id", "doc", "w", F.col("t.name").alias("name"), F.col("t.text").alias("text"))
+    found = occurrence_rows(written, ["id", "doc", "w", "name"], "w", [("t", F.col("text"))], r"\d").where("at is not null")
     w, parts = F.col("w"), F.split("w", r"[./-]")
     iso = w.rlike(r"^\d{4}-")
     first, middle, last = (F.get(parts, F.lit(k)) for k in range(3))
     day = F.try_to_timestamp(F.concat_ws("-", F.when(iso, first).otherwise(last), F.lpad(middle, 2, "0"), F.lpad(F.when(iso, last).otherwise(first), 2, "0")), F.lit("yyyy-MM-dd"))
-    found = found.withColumns({"value": F.date_format(day, "dd.MM.yyyy"), "here": X.evidence_norm(F.concat("o.before", "w", "o.after"))})
-    good, bad = X.phrase_score(F.col("here"), strong), X.phrase_score(F.col("here"), weak)
+    found = held(found.withColumns({"value": F.date_format(day, "dd.MM.yyyy"), "here": X.evidence_norm(F.concat("before", "w", "after"))}), "value", "here")
+    good, bad = _holds(F.col("here"), strong), _holds(F.col("here"), weak)
     score = F.when(good > 0, 20 + F.least(F.lit(8), 2 * good)).otherwise(0) - F.least(F.lit(18), 5 * bad) + F.when(F.col("name") == "subject", 3).when(F.col("name") == "table", 5).otherwise(0)
     score += F.when((F.length("doc") > 0) & F.col("here").contains(F.col("doc")), 14).otherwise(0) + F.when(w == F.col("value"), 2).otherwise(0)
     best = F.max(F.struct(score.alias("score"), F.col("name").alias("source"), (good > 0).alias("strong")))

@@ -229,7 +229,7 @@ def final_summary(spark, sf_dir):
 
 _QUANTITY = r"""WITH d AS (SELECT doc_id, text, coalesce(try_cast(regexp_extract(text, '(^|[^\d.,])(\d{1,3})([^\d.,]|$)', 2) AS INTEGER)::VARCHAR, '') AS v FROM documents WHERE text IS NOT NULL)
 , p AS (SELECT *, string_split(text, v) AS pieces FROM d WHERE v <> '')
-, o AS (SELECT doc_id, v, i, right(list_reduce(pieces[greatest(1, i - 2):i], lambda x, y: x || v || y), 110) AS b, left(list_reduce(pieces[i + 1:i + 3], lambda x, y: x || v || y), 110) AS a FROM p, unnest(range(1, len(pieces))) AS r(i))
+, o AS (SELECT doc_id, v, i, right(list_reduce(pieces[greatest(1, i - 120):i], lambda x, y: x || v || y), 110) AS b, left(list_reduce(pieces[i + 1:i + 120], lambda x, y: x || v || y), 110) AS a FROM p, unnest(range(1, len(pieces))) AS r(i))
 , x AS (SELECT *, regexp_matches(b, '(?i)(?:of|de|la|der|en|to)\s*[:=—| -]*\s*$') AS labelled, regexp_matches(a, '(?i)^\s*(?:and|et|und|y|of|ing)($|\W)') OR (regexp_matches(b, '(?i)(?:and|et|und|y|of|ing)\s*[:=—| -]*\s*$') AND NOT regexp_matches(b, '(?i)\d\s*(?:and|et|und|y|of|ing)\s*[:=—| -]*\s*$')) AS pieces,
   regexp_matches(b, '\d[/-]$') OR regexp_matches(a, '^[/-]\d') OR regexp_matches(b, '\+?\d[\d\s()-]{4,}$') OR regexp_matches(a, '^[\s()-]*\d[\d\s()-]{4,}') AS danger,
   len(list_distinct(regexp_extract_all(b || v || a, '(?i)(?:of|de|la|der|en|to)\s*[:=—| -]*\s*(\d+(?:[.,]\d+)?)', 1))) AS named FROM o WHERE NOT regexp_matches(b, '[\d.,]$') AND NOT regexp_matches(a, '^[\d.,]'))
@@ -248,7 +248,7 @@ def quantity_evidence(spark, sf_dir):
 
 
 _PART = r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '(^|[^\pL\pN])(\pL*\pN[\pL\pN]{3,})', 2) AS v FROM documents WHERE text IS NOT NULL)
-, p AS (SELECT *, string_split(lower(text), lower(v)) AS pieces FROM d WHERE v <> ''), o AS (SELECT doc_id, v, right(list_reduce(pieces[greatest(1, i - 2):i], lambda x, y: x || lower(v) || y), 120) AS b, left(list_reduce(pieces[i + 1:i + 3], lambda x, y: x || lower(v) || y), 120) AS a FROM p, unnest(range(1, len(pieces))) AS r(i))
+, p AS (SELECT *, string_split(lower(text), lower(v)) AS pieces FROM d WHERE v <> ''), o AS (SELECT doc_id, v, right(list_reduce(pieces[greatest(1, i - 120):i], lambda x, y: x || lower(v) || y), 120) AS b, left(list_reduce(pieces[i + 1:i + 120], lambda x, y: x || lower(v) || y), 120) AS a FROM p, unnest(range(1, len(pieces))) AS r(i))
 , x AS (SELECT doc_id, regexp_matches(b, '(?i)(?:token|of|de|la|der)\s*[:=—| -]*\s*\*?\s*$') AS labelled FROM o WHERE NOT regexp_matches(b, '[\pL\pN]$') AND NOT regexp_matches(a, '^[\pL\pN]')), j AS (SELECT doc_id, bool_or(labelled) AS labelled FROM x GROUP BY 1)
 SELECT d.doc_id, CASE WHEN v = '' THEN 'missing_processed' WHEN j.doc_id IS NULL THEN 'not_found' WHEN labelled THEN 'confirmed_by_part_label' ELSE 'weak_found' END AS status, CASE WHEN v <> '' AND j.doc_id IS NOT NULL AND NOT labelled THEN CASE WHEN regexp_matches(v, '^\d{1,5}$') THEN 'part_number_short_numeric_without_label' ELSE 'part_number_without_product_context' END END AS warning FROM d LEFT JOIN j USING (doc_id)"""
 
@@ -263,7 +263,7 @@ def part_evidence(spark, sf_dir):
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '(^|[^\pL\pN.])(\d{4,12})([^\pL\pN.]|$)', 2) AS v FROM documents WHERE text IS NOT NULL)
-, p AS (SELECT *, string_split(text, v) AS pieces FROM d WHERE v <> ''), o AS (SELECT doc_id, v, i, trim(regexp_replace(translate(lower(right(list_reduce(pieces[greatest(1, i - 2):i], lambda x, y: x || v || y), 90)), 'ё', 'е'), '\s+', ' ', 'g')) AS b, trim(regexp_replace(translate(lower(left(list_reduce(pieces[i + 1:i + 3], lambda x, y: x || v || y), 90)), 'ё', 'е'), '\s+', ' ', 'g')) AS a, pieces FROM p, unnest(range(1, len(pieces))) AS r(i) WHERE NOT regexp_matches(pieces[i], '[\pL\pN]$') AND NOT regexp_matches(pieces[i + 1], '^[\pL\pN]'))
+, p AS (SELECT *, string_split(text, v) AS pieces FROM d WHERE v <> ''), o AS (SELECT doc_id, v, i, trim(regexp_replace(translate(lower(right(list_reduce(pieces[greatest(1, i - 120):i], lambda x, y: x || v || y), 90)), 'ё', 'е'), '\s+', ' ', 'g')) AS b, trim(regexp_replace(translate(lower(left(list_reduce(pieces[i + 1:i + 120], lambda x, y: x || v || y), 90)), 'ё', 'е'), '\s+', ' ', 'g')) AS a, pieces FROM p, unnest(range(1, len(pieces))) AS r(i) WHERE NOT regexp_matches(pieces[i], '[\pL\pN]$') AND NOT regexp_matches(pieces[i + 1], '^[\pL\pN]'))
 , m AS (SELECT *, least(CASE WHEN contains(b, 'the') THEN instr(reverse(b), 'eht') - 1 END, CASE WHEN contains(a, 'the') THEN instr(a, 'the') - 1 END, CASE WHEN contains(b, 'en') THEN instr(reverse(b), 'ne') - 1 END, CASE WHEN contains(a, 'en') THEN instr(a, 'en') - 1 END) AS plus, least(CASE WHEN contains(b, 'of') THEN instr(reverse(b), 'fo') - 1 END, CASE WHEN contains(a, 'of') THEN instr(a, 'of') - 1 END, CASE WHEN contains(b, 'de') THEN instr(reverse(b), 'ed') - 1 END, CASE WHEN contains(a, 'de') THEN instr(a, 'de') - 1 END) AS minus FROM o)
 , s AS (SELECT *, coalesce(100 - least(plus, 90), 0) - CASE WHEN minus IS NOT NULL AND (plus IS NULL OR minus + 8 < plus) THEN 100 - least(minus, 90) ELSE 0 END AS score FROM m)
 , g AS (SELECT doc_id, count(*) AS n, arg_max((plus, minus), (score, -i)) FILTER (plus IS NOT NULL) AS best, bool_or(minus IS NOT NULL) AS claims FROM s GROUP BY 1)

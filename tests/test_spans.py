@@ -92,3 +92,22 @@ def test_split_document_cell(spark):
     cells = [("№ 81407 от 15.05.2026", "81407", "15.05.2026"), ("УТ-12/б 2024-01-02", "12/б", "2024-01-02"), ("12", None, None), (None, None, None)]
     df = spark.createDataFrame([(c,) for c, _, _ in cells], "c string").select("c", C.split_document_cell(F.col("c")).alias("x"))
     assert [(r.c, r.x.number, r.x.date) for r in df.collect()] == cells
+
+
+def test_contexts_are_whole_however_often_a_value_stands_in_them(spark):
+    from postmill.functions import evidence as E
+
+    draw = random.Random(5)
+    rows = [(k, draw.choice(["1", "12", "Ab", "x.", "", None]), "".join(draw.choice("1 2abAB x.") for _ in range(draw.randrange(0, 300))), draw.choice([None, "1 12 AB"])) for k in range(120)]
+    rows.append((500, "1", "1 " * 3000, "y" * 9000 + "1" + "z" * 9000))
+    df = spark.createDataFrame(rows, "id int, v string, a string, b string")
+    got = E.occurrence_rows(df, ["id", "v"], "v", [("a", F.col("a")), ("b", F.col("b"))], r"\d", 30).where("at is not null").collect()
+    want = []
+    for k, v, *texts in rows:
+        for name, text in zip("ab", texts):
+            for m in re.finditer(re.escape(v), text or "", re.I) if v and v.strip() else ():
+                # between the places of a value the value stands as it was asked
+                head, tail = re.sub(re.escape(v), lambda _: v, text[: m.start()], flags=re.I)[-30:], re.sub(re.escape(v), lambda _: v, text[m.end() :], flags=re.I)[:30]
+                if not re.search(r"\d$", head) and not re.match(r"\d", tail):
+                    want.append((k, name, head, tail))
+    assert sorted((r.id, r.source, r.before, r.after) for r in got) == sorted(want)
