@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from postmill.plans import classifier, judged, relational, reports, stored, streams, texts, upkeep
+from postmill.plans import classifier, history, judged, relational, reports, stored, streams, texts, upkeep
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = relational.QUERIES | reports.QUERIES | texts.QUERIES | upkeep.QUERIES | judged.QUERIES | classifier.QUERIES | stored.QUERIES | streams.QUERIES
-SQL = relational.SQL | reports.SQL | texts.SQL | upkeep.SQL | judged.SQL | classifier.SQL | stored.SQL | streams.SQL
+QUERIES = relational.QUERIES | reports.QUERIES | texts.QUERIES | upkeep.QUERIES | judged.QUERIES | classifier.QUERIES | stored.QUERIES | history.QUERIES | streams.QUERIES
+SQL = relational.SQL | reports.SQL | texts.SQL | upkeep.SQL | judged.SQL | classifier.SQL | stored.SQL | history.SQL | streams.SQL
 
 
 @pytest.fixture(scope="module")
