@@ -78,7 +78,7 @@ def _blocks(log: DataFrame, machine: Machine, folder: str) -> DataFrame:
     blocks = placed.groupBy("key", F.floor(F.col("k") / FAN).alias("node")).agg(events.alias("events"))
     asked = F.size(F.filter("events", lambda e: e["ask"]))
     last = F.array_max(F.transform(F.filter("events", lambda e: ~e["ask"]), lambda e: e["at"]))
-    table = _composed(machine, F.col("events"), lambda e: machine.table(e["event"]))
+    table = _composed(machine, F.transform("events", lambda e: machine.table(e["event"])), lambda m: m)
     return _written(blocks.select("key", "node", "events", table.alias("table"), (F.size("events") - asked).cast("long").alias("n"), last.alias("last_at")), folder)
 
 
@@ -125,7 +125,7 @@ def _traced(rows: DataFrame, machine: Machine, folder: str) -> DataFrame:
         if entered is not None:
             level, first = level.join(entered, ["key", "node"], "left"), F.coalesce("first", F.lit(0))
         if "events" in level.columns:
-            states = _befores(F.col("events"), first, lambda e: machine.table(e["event"]))
+            states = _befores(F.transform("events", lambda e: machine.table(e["event"])), first, lambda m: m)
             steps = level.select("key", "events", states.alias("states"))
             each = F.transform("events", lambda e, k: F.struct(e["k"].alias("k"), e["at"].alias("at"), e["ask"].alias("ask"), e["id"].alias("id"), e["event"].alias("event"), F.get("states", k).alias("before"), F.get("states", k + 1).alias("after")))
             return steps.select("key", F.inline(each))

@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import event_hash
 from postmill.operators.cases import append_new
-from postmill.streaming.flows import run_once
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+from postmill.streaming.flows import _exists, run_once
 
 
 def _earlier(spark: SparkSession, table: str, number: int, schema) -> DataFrame:
@@ -55,7 +50,10 @@ def deliveries(outbox: DataFrame, attempts: DataFrame, most: int = 8) -> DataFra
 
 
 def deliver(outbox: DataFrame, send: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Deliver a stream of outbox rows: ``send`` gives (event_key, at, ok) of a batch, which is kept as attempts; sent keys are not sent again."""
+    """Deliver a stream of outbox rows: ``send`` gives (event_key, at, ok) of a batch, which is kept as attempts; sent keys are not sent again.
+
+    An outbox row is sent once a time that it comes by; what fails comes again in ``delivery.deliver_in_rounds``.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         done = _earlier(df.sparkSession, out, number, "event_key string, at timestamp, ok boolean").where("ok")
@@ -64,9 +62,15 @@ def deliver(outbox: DataFrame, send: Callable[[DataFrame], DataFrame], out: str,
     run_once(outbox, checkpoint, batch)
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    """Append a log as JSON lines: ledgers of costs, traces of answers, artefacts of quality checks."""
-    rows.write.mode("append").json(path)
+def append_lines(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append a log as JSON lines: ledgers of costs, traces of answers, artefacts of quality checks.
+
+    With the number of a stream's ``batch`` the rows go to a folder of that batch, which a repeated batch replaces.
+    """
+    if batch is None:
+        rows.write.mode("append").json(path)
+    else:
+        rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def ledger_entry(calls: DataFrame, price_in: Column, price_out: Column, price_image: Column, per: float = 1000.0) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,15 +119,71 @@ def to_parquet(rows: DataFrame, out: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def closed_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame], folder: str, flush: bool = False) -> DataFrame:
+    """Append the windows that the watermark has closed to ``folder``/out, each once, and drop their state; gives all so far.
+
+    ``windows`` makes windows of a stream of ``events``, which has its time in ``at``. With ``flush``, all that has arrived
+    is read first, and then one row of the year 2200 that closes the windows still open: a stream that is flushed has ended,
+    and rows that come after that are late. That row's own window is never closed.
+    """
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(f"{folder}/clock")
+    rows = windows(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/clock")))
+    to_parquet(rows, f"{folder}/out", f"{folder}/checkpoint")
+    if flush:
+        end = [F.lit("2200-01-01").cast(f.dataType).alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+        spark.range(1).select(*end).write.mode("append").parquet(f"{folder}/clock")
+        to_parquet(rows, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def corrections(events: DataFrame, every: str, keys: tuple[str, ...], folder: str) -> None:
+    """Counts and sums of ``value`` by window and keys as changes: what a batch says of a window that was reported before takes the old figures back.
+
+    Each batch appends (start, keys, old_n, n, old_total, total) to ``folder``/day=.../batch=...: old figures are null where
+    the window is new. There is no state but these rows, of which a batch reads the days that it has rows for; late rows of
+    any age correct their window. Rows without a time are left out; a null value counts and adds nothing. A batch that is
+    run again replaces its rows.
+    """
+    keys = ["start", *keys]
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        fresh = df.where("at is not null").groupBy(F.window("at", every).getField("start").alias("start"), *keys[1:]).agg(F.count("*").alias("more"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("plus"))
+        fresh = fresh.withColumn("day", F.to_date("start"))
+        days = fresh.select("day").distinct()
+        schema = fresh.select(*keys, F.lit(0).cast("long").alias("old_n"), F.col("more").alias("n"), F.lit(0.0).alias("old_total"), F.col("plus").alias("total"), "day").schema
+        before = spark.createDataFrame([], schema.add("batch", "long"))
+        if _exists(spark, folder):
+            known = spark.read.schema(schema.add("batch", "long")).option("basePath", folder).parquet(folder)
+            before = known.where(F.col("batch") < number).join(F.broadcast(days), "day", "left_semi")  # one row a day
+        latest = before.groupBy(*keys).agg(F.max_by(F.struct("n", "total"), "batch").alias("was"))
+        left, right = fresh.alias("f"), latest.alias("w")
+        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
+        n, total = F.col("w.was.n"), F.col("w.was.total")
+        changes = left.join(right, same, "left").select(
+            *[F.col(f"f.{k}") for k in keys], n.alias("old_n"), (F.coalesce(n, F.lit(0)) + F.col("more")).alias("n"), total.alias("old_total"),
+            (F.coalesce(total, F.lit(0.0)) + F.col("plus")).alias("total"), F.col("f.day").alias("day"), F.lit(number).cast("long").alias("batch"),
+        )
+        changes.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("day", "batch").parquet(folder)
+
+    run_once(events, f"{folder}-checkpoint", batch)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def ingest(rows: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
-    """Append rows whose key the target does not have; each batch writes its own folder, so a repeated batch overwrites itself."""
+    """Append rows whose key the target does not have, of equal keys in a batch the lowest row; each batch writes its own folder, so a repeated batch overwrites itself."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        fresh = df.dropDuplicates(keys)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(hadoop):
+        rest = [c for c in df.columns if c not in keys]
+        lowest = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")) if rest else df.distinct()
+        fresh = lowest.select(*[F.col(f"row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
+        if _exists(spark, target):
             known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") != number).select(*keys)
             fresh = fresh.join(known, keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
