@@ -20,29 +20,30 @@ def _actions(key: str, out: list[tuple[str, int]]) -> pd.DataFrame:
 
 
 class Retries(StatefulProcessor):
-    """The state of a key is its number of failed attempts and whether it is done; it goes once ``keep`` seconds have passed since."""
+    """The state of a key is its number of attempts, whether it is done, and when it wakes up; it goes once ``keep`` seconds have passed since."""
 
     def __init__(self, most: int, first: float, longest: float, keep: float):
         self.most, self.first, self.longest, self.keep = most, first, longest, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "tries int, done boolean")
+        self.seen = handle.getValueState("seen", "tries int, done boolean, wake long")
 
-    def _wake(self, at: float, seconds: float) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((at + seconds) * 1000))
+    def _wake(self, at: float, seconds: float) -> int:
+        """Set a timer; timers set before are not looked up but pass unheeded, as the state names the one that counts."""
+        wake = int((at + seconds) * 1000)
+        self.handle.registerTimer(wake)
+        return wake
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["attempt", "ok"], ascending=[True, False])
-        known = self.seen.exists()
-        tries, done = self.seen.get() if known else (0, False)
-        out = []
+        state = self.seen.get()
+        tries, done, wake = state or (0, False, None)
+        out, last = [], None
         for at, attempt, ok in zip(log["at"], log["attempt"], log["ok"]):
-            if done or (attempt and attempt <= tries) or (attempt == 0 and known):
+            if done or (attempt and attempt <= tries) or (attempt == 0 and (state or last)):
                 continue  # a repeated row
-            known, at = True, pd.Timestamp(at).timestamp()
+            last = pd.Timestamp(at).timestamp()
             if attempt == 0:
                 out.append(("due", 1))
             elif ok:
@@ -52,18 +53,20 @@ class Retries(StatefulProcessor):
                 tries, done = int(attempt), attempt >= self.most
                 if done:
                     out.append(("gave_up", tries))
-            self._wake(at, self.keep if done or not tries else min(self.longest, self.first * 2 ** (tries - 1)))
-        if known:
-            self.seen.update((tries, done))
+        if last is not None:
+            wake = self._wake(last, self.keep if done or not tries else min(self.longest, self.first * 2 ** (tries - 1)))
+            self.seen.update((tries, done, wake))
         yield _actions(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            tries, done = self.seen.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        state = self.seen.get()
+        if state and state[2] == now:
+            tries, done, _ = state
             if done:
                 self.seen.clear()
             else:  # also what was due and never came back is due again
-                self.handle.registerTimer(int(expiredTimerInfo.getExpiryTimeInMs() + self.keep * 1000))
+                self.seen.update((tries, done, self._wake(now / 1000, self.keep)))
                 yield _actions(key[0], [("due", tries + 1)])
 
     def close(self) -> None:
