@@ -60,7 +60,12 @@ def links_extract(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(M.links(F.concat_ws(" ", "url", "html"), None)).cast("long").alias("n_links"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages)
+, b AS (SELECT page_id, regexp_replace(regexp_replace(t, '[\r\n\t ]+', ' ', 'g'), '(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>', ' | ', 'g') AS t FROM a)
+, c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\b[^>]*>|</(p|div|tr|li|h[1-6]|table|ul|ol)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM b)
+, d AS (SELECT page_id, trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t FROM c)
+, e AS (SELECT page_id, replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&#39;', '''') AS t FROM d)
+SELECT page_id, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM e""")
 def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", M.html_to_text(F.col("html")).alias("text"))
 
