@@ -240,8 +240,8 @@ def window_split(rows: DataFrame, at: Column, start: Column) -> DataFrame:
 
 
 def job_health(jobs: DataFrame, now: Column, hang: int = 120, abandon: int = 600) -> DataFrame:
-    """``jobs`` (status, last_heartbeat_at) with possible_hang, and status abandoned after ``abandon`` seconds without a heartbeat."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("last_heartbeat_at")
+    """``jobs`` (status, last_heartbeat_at) with possible_hang, and status abandoned after ``abandon`` seconds without a heartbeat, to the microsecond."""
+    age = (F.unix_micros(now) - F.unix_micros("last_heartbeat_at")) / 1_000_000
     running = F.col("status") == "running"
     return jobs.withColumns({"possible_hang": F.coalesce(running & (age > hang), F.lit(False)), "status": F.when(running & (age > abandon), "abandoned").otherwise(F.col("status"))})
 

@@ -165,3 +165,11 @@ def test_work_cycle_is_idempotent(spark, tmp_path):
     table = spark.createDataFrame([(1, 10)], "id long, size long")
     manifest = cycle.comparison_export(table, spark.createDataFrame([(1, 5)], "mail_id long, case_id long"), table, table, f"{tmp_path}/export")
     assert {r.part: r.n for r in manifest.collect()} == {"mail": 1, "cases": 1, "attachments": 1, "outbox": 1}
+
+
+def test_health_counts_parts_of_a_second(spark):
+    at = [("a", 3600.0), ("b", 3600.000001), ("c", 86400.0), ("d", 86400.9), ("e", 10.5)]
+    now = datetime.datetime(2024, 1, 30, 12, 0, 0, 200000)
+    jobs = spark.createDataFrame([(k, now - datetime.timedelta(seconds=s), "running") for k, s in at], "k string, last_heartbeat_at timestamp, status string")
+    got = {r.k: (r.status, r.possible_hang) for r in O.job_health(jobs, F.lit(now), 3600, 86400).collect()}
+    assert got == {"a": ("running", False), "b": ("running", True), "c": ("running", True), "d": ("abandoned", True), "e": ("running", False)}
