@@ -78,3 +78,13 @@ def test_a_lookup_reads_the_asked_buckets_only(spark, tmp_path):
     assert 1 <= len(read) <= I.CUTS
     many = index.lookup_many(spark.createDataFrame([("n-00007",), ("n00499",), ("zz",), (None,)], "ask string"), "ask")
     assert sorted((r.ask, r.entity, r.found_id, r.field) for r in many.collect()) == [("n-00007", "case", "7", "number"), ("n00499", "case", "499", "number")]
+
+
+def test_a_value_is_one_row_whatever_its_length(spark, tmp_path):
+    index = I.IdentifierIndex(spark, f"file://{tmp_path}/r")
+    rows = [("case", k, f"N-{k:05d}/{k:05d}", None) for k in range(3000)]
+    index.append(posted(spark, rows), posted(spark, rows))
+    read = index._read(index.segments())
+    assert read.where("whole").count() == 3000 and read.count() < 6000
+    assert [r.id for r in index.lookup("2999/02999").collect()] == ["2999"]
+    assert {r.id for r in index.lookup("0100/", limit=None).collect()} == {str(k) for k in range(3000) if "0100" in f"n{k:05d}{k:05d}"}
