@@ -15,86 +15,101 @@ LOG = "event_key string, at timestamp, attempt int, ok boolean"
 ACTIONS = "event_key string, action string, attempt int"
 
 
-def _actions(key: str, out: list[tuple[str, int]]) -> pd.DataFrame:
-    return pd.DataFrame({"event_key": pd.Series([key] * len(out), dtype=object), "action": pd.Series([a for a, _ in out], dtype=object), "attempt": pd.Series([n for _, n in out], dtype="int32")})
+#: Groups of keys by hash; a group's keys share one row of state, one timer and one call a batch.
+SHARDS = 256
+
+
+def _actions(out: list[tuple[str, str, int]]) -> pd.DataFrame:
+    keys, actions, attempts = zip(*out) if out else ((), (), ())
+    return pd.DataFrame({"event_key": pd.Series(keys, dtype=object), "action": pd.Series(actions, dtype=object), "attempt": pd.Series(attempts, dtype="int32")})
 
 
 class Retries(StatefulProcessor):
-    """The state of a key is its number of attempts, whether it is done, and when it wakes up; it goes once ``keep`` seconds have passed since."""
+    """The state of a key is its number of attempts, whether it is done, and when it wakes up; it goes once ``keep`` seconds have passed since.
+
+    The group is a shard of keys: its state is one row of lists, and its timer stands at the earliest time that a key of it
+    wakes up, so that a batch costs a call a shard and not a call a key.
+    """
 
     def __init__(self, most: int, first: float, longest: float, keep: float):
         self.most, self.first, self.longest, self.keep = most, first, longest, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "tries int, done boolean, wake long")
+        self.seen = handle.getValueState("seen", "event_key array<string>, tries array<int>, done array<boolean>, wake array<long>")
+
+    def _load(self) -> dict[str, tuple[int, bool, int]]:
+        state = self.seen.get()
+        return {k: (n, done, wake) for k, n, done, wake in zip(*state)} if state else {}
 
-    def _wake(self, at: float, seconds: float) -> int:
-        """Set a timer; timers set before are not looked up but pass unheeded, as the state names the one that counts."""
-        wake = int((at + seconds) * 1000)
-        self.handle.registerTimer(wake)
-        return wake
+    def _save(self, keys: dict[str, tuple[int, bool, int]]) -> None:
+        """Keep the keys and set the timer; timers set before are not looked up but find nothing that is due."""
+        if not keys:
+            self.seen.clear()
+            return
+        tries, done, wake = zip(*keys.values())
+        self.seen.update((list(keys), list(tries), list(done), list(wake)))
+        self.handle.registerTimer(min(wake))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["attempt", "ok"], ascending=[True, False])
-        state = self.seen.get()
-        tries, done, wake = state or (0, False, None)
-        out, last = [], None
-        for at, attempt, ok in zip(log["at"], log["attempt"], log["ok"]):
-            if done or (attempt and attempt <= tries) or (attempt == 0 and (state or last)):
+        log = pd.concat(list(rows))
+        log = log[log["event_key"] != ""].sort_values(["attempt", "ok"], ascending=[True, False])  # what only tells the time is no event
+        out: list[tuple[str, str, int]] = []
+        keys = self._load() if len(log) else {}
+        changed = False
+        for k, at, attempt, ok in zip(log["event_key"].tolist(), log["at_ms"].tolist(), log["attempt"].tolist(), log["ok"].tolist()):
+            tries, done, _ = keys.get(k, (0, False, 0))
+            if done or (attempt and attempt <= tries) or (attempt == 0 and k in keys):
                 continue  # a repeated row
-            last = pd.Timestamp(at).timestamp()
             if attempt == 0:
-                out.append(("due", 1))
+                out.append((k, "due", 1))
             elif ok:
                 tries, done = int(attempt), True
-                out.append(("sent", tries))
+                out.append((k, "sent", tries))
             else:
                 tries, done = int(attempt), attempt >= self.most
                 if done:
-                    out.append(("gave_up", tries))
-        if last is not None:
-            wake = self._wake(last, self.keep if done or not tries else min(self.longest, self.first * 2 ** (tries - 1)))
-            self.seen.update((tries, done, wake))
-        yield _actions(key[0], out)
+                    out.append((k, "gave_up", tries))
+            seconds = self.keep if done or not tries else min(self.longest, self.first * 2 ** (tries - 1))
+            keys[k], changed = (tries, bool(done), int(at + seconds * 1000)), True
+        if changed:
+            self._save(keys)
+        yield _actions(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        state = self.seen.get()
-        if state and state[2] == now:
-            tries, done, _ = state
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        keys, out, changed = self._load(), [], False
+        for k in [k for k, (_, _, wake) in keys.items() if wake <= now]:
+            tries, done, wake = keys[k]
             if done:
-                self.seen.clear()
+                del keys[k]
             else:  # also what was due and never came back is due again
-                self.seen.update((tries, done, self._wake(now / 1000, self.keep)))
-                yield _actions(key[0], [("due", tries + 1)])
+                keys[k] = (tries, done, int(wake + self.keep * 1000))
+                out.append((k, "due", tries + 1))
+            changed = True
+        if changed:
+            self._save(keys)
+        if out:
+            yield _actions(out)
 
     def close(self) -> None:
         pass
 
 
-def retries(log: DataFrame, most: int = 8, first: float = 60, longest: float = 3600, keep: float = 86400, late: str = "1 second") -> DataFrame:
+def retries(log: DataFrame, most: int = 8, first: float = 60, longest: float = 3600, keep: float = 86400, late: str = "1 second", shards: int = SHARDS) -> DataFrame:
     """(event_key, action, attempt) from a stream of (event_key, at, attempt, ok): attempt 0 is queued, later ones are results.
 
     Actions: ``due`` (send it as this attempt), ``sent``, ``gave_up`` after ``most`` attempts. A failure is due again after
     ``first`` seconds, doubled by each further one up to ``longest``; a key whose result never comes is due again after
     ``keep`` seconds, and what is done is forgotten after as many. ``at`` is when a row comes into the log, and time is the
     latest of all rows: rows without a key do nothing else but tell the time. Repeated rows change nothing; of two results
-    of one attempt, success counts. A null ok is a failure. The session needs the RocksDB state store (``deliver_in_rounds``).
+    of one attempt, success counts. A null ok is a failure. A task holds the open keys of one shard at a time, so ``shards``
+    grows with them; it stays as it is for one checkpoint. The session needs the RocksDB state store (``deliver_in_rounds``).
     """
     rows = log.withWatermark("at", late).withColumn("ok", F.coalesce("ok", F.lit(False))).where("event_key is not null or attempt is null")
     keyed = rows.withColumn("event_key", F.coalesce("event_key", F.lit(""))).withColumn("attempt", F.coalesce("attempt", F.lit(-1)))
-    return keyed.groupBy("event_key").transformWithStateInPandas(_Ticking(most, first, longest, keep), outputStructType=ACTIONS, outputMode="append", timeMode="EventTime")
-
-
-class _Ticking(Retries):
-    """Rows that only tell the time come under the empty key and are no event."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        if key[0] == "":
-            yield _actions(key[0], [])
-        else:
-            yield from super().handleInputRows(key, rows, timerValues)
+    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("event_key"), F.lit(shards))).withColumn("at_ms", F.unix_millis("at"))
+    return keyed.groupBy("shard").transformWithStateInPandas(Retries(most, first, longest, keep), outputStructType=ACTIONS, outputMode="append", timeMode="EventTime")
 
 
 def queue(outbox: DataFrame, folder: str, at: datetime.datetime) -> None:

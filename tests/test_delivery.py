@@ -45,3 +45,21 @@ def test_state_is_dropped_after_success(spark, tmp_path):
     delivery.deliver_in_rounds(spark, folder, lambda due: due.withColumn("ok", F.lit(True)), rounds, **LIMITS)
     left = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/checkpoint")
     assert left.count() == 0
+
+
+def test_keys_of_a_shard_wake_up_each_at_its_own_time(spark, tmp_path):
+    folder, calls = str(tmp_path), []
+    names = [f"k{n}" for n in range(40)]
+    delivery.queue(spark.createDataFrame([(n,) for n in names[:20]], "event_key string"), folder, START)
+
+    def send(due):
+        calls.append(sorted(map(tuple, due.collect())))
+        return due.withColumn("ok", F.col("attempt") > 1)
+
+    delivery.deliver_in_rounds(spark, folder, send, minutes(0.1), shards=1, **LIMITS)
+    delivery.queue(spark.createDataFrame([(n,) for n in names[20:]], "event_key string"), folder, minutes(0.9)[0])
+    got = delivery.deliver_in_rounds(spark, folder, send, minutes(1, 1.3, 1.5, 2.2, 2.4), shards=1, **LIMITS)
+    assert [c for c in calls if c] == [sorted((n, 1) for n in names[:20]), sorted((n, 1) for n in names[20:]), sorted((n, 2) for n in names[:20]), sorted((n, 2) for n in names[20:])]
+    assert sorted(r.event_key for r in got.where("action = 'sent' and attempt = 2").collect()) == sorted(names)
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/checkpoint")
+    assert state.count() == 1
