@@ -158,3 +158,11 @@ def test_ageing_and_periods(spark):
     out = C.age_out(df, F.col("d"), F.lit("2024-06-01").cast("timestamp"), 100, 10, "body", "att").collect()
     assert [(r.body, r.att) for r in out] == [(None, None), ("b", None), ("b", "a")]
     assert [r.y for r in df.select(C.outside_period(F.col("d"), "2024-02-01", "2024-12-31").alias("y")).collect()] == [True, False, True]
+
+
+def test_headers_are_read_once_a_cell(spark):
+    rows = spark.createDataFrame([([["Part", "Name", "Qty"], ["1", "nut", "2"]],), ([["a", "b"]],), (None,)], "r array<array<string>>")
+    out = rows.select(M.product_items(F.col("r")).alias("x"))
+    assert [r.x for r in out.collect()] == [[{"part_number": "1", "product_name": "nut", "quantity": "2"}], [], []]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") <= len(M.HEADERS)
