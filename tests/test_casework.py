@@ -185,3 +185,13 @@ def test_line_ends_touch_nothing_and_bars_follow_labels(spark, tmp_path):
     assert got == {r[0]: r[1] for r in rows} == {0: "weak_found", 1: "confirmed_by_part_label", 2: "weak_found", 3: "weak_found"}
     seen = spark.createDataFrame([("of word\nAB1234",)], "text string").select(F.size(E.contexts(F.col("text"), F.lit("AB1234"))).alias("n"))
     assert seen.first().n == 1
+
+
+def test_texts_are_normalised_where_kinds_may_clash_only(spark):
+    rules = {"a": ["broken"], "b": ["missing"]}
+    rows = spark.createDataFrame([(1, "a", "Broken  box, missing lid"), (2, "a", "broken" + " x" * 300 + " missing"), (3, "a", "broken"), (4, "b", "broken"), (5, "a", "x | y | z\nq | broken | 1")], "k int, v string, t string")
+    out = E.kind_evidence(rows, "e", F.col("v"), [("body", F.col("t"))], F.lit(""), rules)
+    got = {r.k: r.e.status for r in out.select("k", "e").collect()}
+    assert got == {1: "conflict_reason_detected", 2: "confirmed_by_explicit_reason", 3: "confirmed_by_explicit_reason", 4: "conflict_reason_detected", 5: "confirmed_by_explicit_reason"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(_kinds" in plan.split("AS _norm")[0].rsplit("CASE WHEN", 1)[1]
