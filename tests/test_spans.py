@@ -111,3 +111,11 @@ def test_contexts_are_whole_however_often_a_value_stands_in_them(spark):
                 if not re.search(r"\d$", head) and not re.match(r"\d", tail):
                     want.append((k, name, head, tail))
     assert sorted((r.id, r.source, r.before, r.after) for r in got) == sorted(want)
+
+
+def test_a_pattern_passes_a_text_once(spark):
+    texts = spark.createDataFrame([(1, "Version 12, of 1999: 3,50 12 boxes a$b 7")], "k long, t string")
+    out = S.found(texts, "k", F.col("t"), C.TOKENS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("regexp_replace(") == len(C.TOKENS)
+    assert ("year", 15, 19, "1999") in {(r.field, r.start, r.end, r.value) for r in out.collect()}
