@@ -172,7 +172,7 @@ def bad_value(value: Column, field: str) -> Column:
         "document_date": ~v.rlike(r"\d{4}|\d{1,2}[./-]\d{1,2}[./-]\d{2}"),
         "claim_number": ~v.rlike(r"\d"), "return_number": ~v.rlike(r"\d"), "client_request_number": ~v.rlike(r"\d"),
     }
-    general = X.contains_any(low, JUNK) | low.isin(*LABELS) | (F.length(v) > 120) | v.rlike(r"^[\W_]*$")
+    general = low.rlike("|".join(map(re.escape, JUNK))) | low.isin(*LABELS) | (F.length(v) > 120) | v.rlike(r"^[\W_]*$")
     return (F.length(v) > 0) & (general | own.get(field, F.lit(False)))
 
 

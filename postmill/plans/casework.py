@@ -12,7 +12,7 @@ A later decision reads the columns of earlier ones, under the names that ``decid
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,9 +88,12 @@ def _matches(x: Column, pattern: str) -> Column:
 # what kind of letter it is
 
 
-def event_type(text: Column, subject: Column, reply_headers: Column, first: Column, direction: Column, kind: Column, part: Column, document: Column, request: Column, words: dict[str, Sequence[str]] = WORDS) -> Column:
-    """struct(value, reason) of a letter: reports, adverts and notices first, then direction, service kinds, follow-ups, new returns."""
-    says = lambda key: X.contains_any(text, words[key])
+def event_type(text: Column, subject: Column, reply_headers: Column, first: Column, direction: Column, kind: Column, part: Column, document: Column, request: Column, words: dict[str, Sequence[str]] = WORDS, said: Mapping[str, Column] | None = None) -> Column:
+    """struct(value, reason) of a letter: reports, adverts and notices first, then direction, service kinds, follow-ups, new returns.
+
+    ``said`` has for each list of words whether the text holds one of them, if that is known; else the text is searched.
+    """
+    says = lambda key: X.contains_any(text, words[key]) if said is None else said[key]
     reply = reply_headers | F.coalesce(subject.rlike(REPLY), F.lit(False))
     goods = _has(part) & (_has(document) | _has(request)) | says("return_data")
     signal = says("new") | (_has(part) & _has(document)) | _has(request) | _has(kind)
@@ -120,9 +123,10 @@ def event_type(text: Column, subject: Column, reply_headers: Column, first: Colu
     )
 
 
-def pre_delivery_refusal(text: Column, event: Column, document: Column, words: dict[str, Sequence[str]] = WORDS) -> Column:
-    """A return that asks not to ship, with no sign of a shipping document."""
-    return (event == "new_return") & X.contains_any(text, words["before_shipping"]) & ~_has(document) & ~X.contains_any(text, words["shipped"])
+def pre_delivery_refusal(text: Column, event: Column, document: Column, words: dict[str, Sequence[str]] = WORDS, said: Mapping[str, Column] | None = None) -> Column:
+    """A return that asks not to ship, with no sign of a shipping document. ``said``: as in ``event_type``."""
+    says = lambda key: X.contains_any(text, words[key]) if said is None else said[key]
+    return (event == "new_return") & says("before_shipping") & ~_has(document) & ~says("shipped")
 
 
 def marking_subcategory(text: Column) -> Column:

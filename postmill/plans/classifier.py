@@ -11,7 +11,7 @@ from postmill.functions import dates as D
 from postmill.functions import text as X
 from postmill.operators import records as O
 from postmill.operators import spans as S
-from postmill.operators.spans import BAD, BLOCK, GUESS, LABEL, Extractor, either
+from postmill.operators.spans import BAD, BLOCK, GUESS, LABEL, Extractor
 from postmill.plans import casework as K
 from postmill.plans import routing as R
 from postmill.plans.relational import read
@@ -31,27 +31,27 @@ def query(sql: str | None = None):
 
 FIELDS = ["document_number", "document_date", "part_number", "quantity", "price", "claim_number", "client_request_number"]
 _DAY = r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{2})"
-_W, _X = "[А-Яа-яЁё]*", "[0-9A-Za-zА-Яа-яЁё]"
-_E = either
-_PAPER = rf"(?:(?:{_E('счет|счёт')})[- ]{_E('фактур')}{_W}|{_E('упд|с/ф|торг-12')}|{_E('накладн')}{_W}|{_E('реализаци')}{_W}|{_E('документ')}{_W})"
+_W, _X = "[а-яё]*", "[0-9a-zа-яё]"
+_PAPER = rf"(?:(?:счет|счёт)[- ]фактур{_W}|упд|с/ф|торг-12|накладн{_W}|реализаци{_W}|документ{_W})"
+_PAPERS = ("фактур", "упд", "с/ф", "торг-12", "накладн", "реализаци", "документ")
 #: Labels before guesses; dates, prices, telephone numbers, links and addresses keep their digits from other fields.
 EXTRACTORS = [
-    Extractor("document_number", LABEL, rf"{_PAPER}\s*(?:№|[Nn]|{_E('номер')})?\s*[:#]?\s*([0-9](?:{_X}|[/_-]){{1,38}}{_X})", 100),
-    Extractor("document_number", GUESS, r"№\s*([0-9][0-9-]{3,20})", 50),
-    Extractor("document_number", BAD, rf"(?:{_E('заявк|заказ|тикет|обращени|телефон|трек')}){_W}|{_E('reclam')}[A-Za-z]*|{_E('инн|кпп')}", 0, 0),
-    Extractor("document_date", LABEL, rf"{_PAPER}[^\n.]{{0,60}}?\s+{_E('от')}\s+({_DAY})", 110),
+    Extractor("document_number", LABEL, rf"{_PAPER}\s*(?:№|n|номер)?\s*[:#]?\s*([0-9](?:{_X}|[/_-]){{1,38}}{_X})", 100, small=True, needs=_PAPERS),
+    Extractor("document_number", GUESS, r"№\s*([0-9][0-9-]{3,20})", 50, needs=("№",)),
+    Extractor("document_number", BAD, rf"(?:заявк|заказ|тикет|обращени|телефон|трек){_W}|reclam[a-z]*|инн|кпп", 0, 0, small=True, needs=("заявк", "заказ", "тикет", "обращени", "телефон", "трек", "reclam", "инн", "кпп")),
+    Extractor("document_date", LABEL, rf"{_PAPER}[^\n.]{{0,60}}?\s+от\s+({_DAY})", 110, small=True, needs=_PAPERS),
     Extractor("document_date", GUESS, rf"({_DAY})", 90),
-    Extractor("part_number", LABEL, rf"(?:{_E('артикул')}(?:\s+{_E('заказа')})?|{_E('код')} {_E('товара')})\s*[:#№.| —-]+\*?\s*([0-9A-Za-z][0-9A-Za-z._/-]{{1,49}}[0-9A-Za-z])", 100),
+    Extractor("part_number", LABEL, r"(?:артикул(?:\s+заказа)?|код товара)\s*[:#№.| —-]+\*?\s*([0-9a-z][0-9a-z._/-]{1,49}[0-9a-z])", 100, small=True, needs=("артикул", "код товара")),
     Extractor("part_number", GUESS, r"([A-Z]{1,4}-?[0-9][0-9A-Z-]{2,20})", 40),
-    Extractor("part_number", BAD, rf"{_E('маркировк')}{_W}|{_E('честн')}{_W}\s+{_E('знак')}{_W}", 0, 0),
-    Extractor("quantity", LABEL, rf"(?:{_E('кол')}[- ]?{_E('во')}|{_E('количество')})\s*[:=| ]+(\d{{1,5}})", 100),
-    Extractor("quantity", GUESS, rf"(\d{{1,4}})\s*(?:{_E('шт|ед')})", 45, leading=True),
-    Extractor("price", GUESS, rf"(\d{{1,7}}[.,]\d{{2}})\s*(?:{_E('руб')}|₽)", 80, leading=True),
-    Extractor("claim_number", LABEL, rf"(?:{_E('претензи|рекламаци')}){_W}\s*№\s*({_X}(?:{_X}|[/-]){{3,39}})", 105),
-    Extractor("client_request_number", LABEL, rf"{_E('заявк')}{_W}(?:\s+{_E('клиента')})?\s*№\s*({_X}(?:{_X}|[/-]){{3,39}})", 105),
+    Extractor("part_number", BAD, rf"маркировк{_W}|честн{_W}\s+знак{_W}", 0, 0, small=True, needs=("маркировк", "честн")),
+    Extractor("quantity", LABEL, r"(?:кол[- ]?во|количество)\s*[:=| ]+(\d{1,5})", 100, small=True, needs=("кол",)),
+    Extractor("quantity", GUESS, r"(\d{1,4})\s*(?:шт|ед)", 45, leading=True, small=True, needs=("шт", "ед")),
+    Extractor("price", GUESS, r"(\d{1,7}[.,]\d{2})\s*(?:руб|₽)", 80, leading=True, small=True, needs=("руб", "₽")),
+    Extractor("claim_number", LABEL, rf"(?:претензи|рекламаци){_W}\s*№\s*({_X}(?:{_X}|[/-]){{3,39}})", 105, small=True, needs=("претензи", "рекламаци")),
+    Extractor("client_request_number", LABEL, rf"заявк{_W}(?:\s+клиента)?\s*№\s*({_X}(?:{_X}|[/-]){{3,39}})", 105, small=True, needs=("заявк",)),
     Extractor("telephone", BLOCK, r"(?:\+7|8)[ (-]*\d{3}[ )-]*\d{3}[ -]?\d{2}[ -]?\d{2}", 120, 0),
-    Extractor("link", BLOCK, r"[Hh][Tt][Tt][Pp][Ss]?://[^\s<>\"]+", 130, 0),
-    Extractor("address", BLOCK, r"[0-9A-Za-z][0-9A-Za-z._+-]{0,63}@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+", 125, 0),
+    Extractor("link", BLOCK, r"https?://[^\s<>\"]+", 130, 0, small=True, needs=("://",)),
+    Extractor("address", BLOCK, r"[0-9A-Za-z][0-9A-Za-z._+-]{0,63}@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+", 125, 0, needs=("@",)),
 ]
 SERVICE_STATES = {"followup_reminder": "needs_link", "followup_dialog": "needs_link", "ready_to_ship": "needs_link", "shortage_link_event": "needs_link", "problem_notice": "problem_notice", "outbound": "context_sent", "internal": "ignored_internal", "info_only": "ignored_info_only", "supplier_report": "ignored_info_only", "spam_promo": "ignored_spam_promo"}
 
@@ -87,11 +87,8 @@ def thread_key(key: Column, references: Column, reply_to: Column, buyer: Column,
     return F.when(key.isNotNull(), F.concat(F.lit("strong:"), key)).when(F.size(references) > 0, F.concat(F.lit("message:"), F.get(references, F.lit(0)))).when(F.length(reply_to) > 0, F.concat(F.lit("message:"), reply_to)).otherwise(X.stable_hash(weak, "weak_thread"))
 
 
-def _spoken(text: Column) -> Column:
-    """The phrases of all rules that a text holds, one a line: rules that ask for phrases find in it what they find in the text."""
-    phrases = sorted({p for words in K.WORDS.values() for p in words} | {"срочно", "повторно", "крайний срок", "просроч", "горит", "недопостав"})
-    low = X.norm(text)
-    return F.concat_ws("\n", *[F.when(low.contains(p), p) for p in phrases])
+#: Lists of phrases beside those of the rules in casework.
+SAID = {"urgent": ["срочно", "повторно", "крайний срок", "просроч", "горит"], "nondelivery": ["недопостав"], "act": ["мнение комисси", "тип возврата", "комментарий"], "link": ["http"]}
 
 
 def classify(letters: DataFrame, now: Column, portals: Sequence[str], extractors: Sequence[Extractor] = EXTRACTORS, kinds: dict[str, list[str]] = R.KIND_PHRASES) -> DataFrame:
@@ -99,38 +96,41 @@ def classify(letters: DataFrame, now: Column, portals: Sequence[str], extractors
 
     ``letters`` has id, subject, text, direction, buyer, buyer_score, first (no earlier letter of the thread), references,
     reply_to, names (of attachments), received. Ids are distinct; a null text or subject is empty, a null list has no
-    elements, a null score is 0. Texts are read once, where they lie; what decides is joined from narrow rows.
+    elements, a null score is 0. Texts are read once, where they lie, and nothing is shuffled or joined.
     """
     full = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("text", F.lit("")))
-    texts = S.held(letters.withColumn("full", full), "full")
-    spans = S.settled(S.without_bad(S.found(texts, "id", F.col("full"), extractors)))
-    date = F.col("field") == "document_date"
-    fields = S.chosen(spans, FIELDS, dates=F.size(F.collect_set(F.when(date, F.col("value")))), labelled=F.bool_or(date & (F.col("kind") == LABEL))).drop("t")
     lists = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    votes = F.array_max(F.array(*[X.phrase_score(F.col("full"), words) for words in kinds.values()]))
-    narrow = texts.select(
+    texts = S.held(letters.withColumn("full", full), "full")
+    lists_of = {f"says_{k}": words for k, words in (K.WORDS | SAID).items()} | {f"kind_{k}": words for k, words in kinds.items()}
+    read = texts.withColumns({"_read": S.fields_of(F.col("full"), extractors, FIELDS), "_said": X.phrase_scores(F.col("full"), lists_of)})
+    scores = {k: F.col(f"_said.kind_{k}") for k in kinds}
+    said = {k: F.col(f"_said.says_{k}") > 0 for k in [*K.WORDS, *SAID]}
+    c = read.select(
         "id", "direction", "buyer", F.coalesce("buyer_score", F.lit(0.0)).alias("buyer_score"), F.coalesce("first", F.lit(True)).alias("first"), lists(F.col("references")).alias("references"), F.coalesce("reply_to", F.lit("")).alias("reply_to"),
-        lists(F.col("names")).alias("names"), "received", F.coalesce("subject", F.lit("")).alias("subject"), _spoken(F.col("full")).alias("spoken"), R.kind_vote(F.col("full"), kinds).alias("voted"), votes.alias("votes"),
-        K.kind_from_act(F.col("full")).alias("act"), F.array_distinct(F.regexp_extract_all("full", F.lit(r"(?i)https?://[^\s<>\"]+"), F.lit(0))).alias("links"),
+        lists(F.col("names")).alias("names"), "received", F.coalesce("subject", F.lit("")).alias("subject"), "_said", R.kind_vote(F.col("full"), kinds, scores).alias("voted"), F.array_max(F.array(*scores.values())).alias("votes"),
+        F.when(said["act"], K.kind_from_act(F.col("full"))).alias("act"), F.when(said["link"], F.array_distinct(F.regexp_extract_all("full", F.lit(r"(?i)https?://[^\s<>\"]+"), F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("links"),
+        *[F.col(f"_read.{f}.value").alias(f) for f in FIELDS], F.col("_read.document_date.n").alias("dates"), F.col("_read.document_date.labelled").alias("labelled"),
     )
-    c = narrow.join(fields, "id", "left")
-    values = {f: F.when(~O.bad_value(F.col(f), f), F.col(f)) if f != "price" else F.col(f) for f in FIELDS}
-    bad = F.array_compact(F.array(*[F.when(O.bad_value(F.col(f), f), F.lit(f"{f}_bad")) for f in FIELDS if f != "price"]))
-    c = S.held(c.withColumn("problems", bad).withColumns(values), "problems", *FIELDS)
+    checked = [f for f in FIELDS if f != "price"]
+    c = c.withColumns({f"_{f}": F.when(F.col(f).isNotNull(), O.bad_value(F.col(f), f)) for f in checked})
+    bad = F.array_compact(F.array(*[F.when(F.col(f"_{f}"), F.lit(f"{f}_bad")) for f in checked]))
+    c = c.withColumn("problems", bad).withColumns({f: F.when(~F.col(f"_{f}"), F.col(f)) for f in checked}).drop(*[f"_{f}" for f in checked])
+    c = S.held(c, "problems", *checked)
     kind = F.coalesce("act", "voted")
     c = c.withColumn("kind", kind).withColumn("kind_score", F.when(F.col("act").isNotNull(), 0.9).when(F.col("votes") > 0, F.least(F.lit(0.85), 0.45 + 0.12 * F.col("votes"))).otherwise(0.0))
     request = F.coalesce("claim_number", "client_request_number")
     reply = (F.size("references") > 0) | (F.length("reply_to") > 0)
-    event = K.event_type(F.col("spoken"), F.col("subject"), reply, F.col("first"), F.col("direction"), F.col("kind"), F.col("part_number"), F.col("document_number"), request)["value"]
+    event = K.event_type(F.lit(""), F.col("subject"), reply, F.col("first"), F.col("direction"), F.col("kind"), F.col("part_number"), F.col("document_number"), request, said=said)["value"]
     c = S.held(c.withColumn("event0", event).withColumn("request", request), "event0", "request", "kind", "kind_score")
-    c = c.withColumn("pre_delivery", K.pre_delivery_refusal(F.col("spoken"), F.col("event0"), F.col("document_number")))
-    c = c.withColumn("link_only", link_only(F.col("spoken"), F.col("kind"), F.col("links"), portals))
+    c = c.withColumn("pre_delivery", K.pre_delivery_refusal(F.lit(""), F.col("event0"), F.col("document_number"), said=said))
+    c = c.withColumn("link_only", link_only(F.when(said["nondelivery"], SAID["nondelivery"][0]), F.col("kind"), F.col("links"), portals))
     c = c.withColumn("event", F.when(F.col("link_only"), "shortage_link_event").when(F.col("pre_delivery"), "pre_delivery_refusal").otherwise(F.col("event0")))
     c = c.withColumn("strong_key", strong_key(F.col("buyer"), {f: F.col(f) for f in FIELDS}))
     c = S.held(c, "event", "pre_delivery", "link_only", "strong_key")
     c = c.withColumn("thread_key", thread_key(F.col("strong_key"), F.col("references"), F.col("reply_to"), F.col("buyer"), F.col("subject")))
-    c = c.withColumn("summary", K.evidence_summary(F.col("names"), F.col("links")))
-    c = c.withColumn("missing", K.quality_missing(F.col("event"), F.col("kind"), F.col("direction"), F.col("buyer"), F.col("strong_key"), F.col("document_number"), F.col("request"), F.col("part_number"), F.col("pre_delivery"), F.col("link_only"), F.col("summary")))
+    proof = K.evidence_summary(F.col("names"), F.col("links"))
+    c = S.held(c.withColumns({k: proof[k] for k in ("has_photo", "has_service_document")}), "has_photo", "has_service_document")
+    c = c.withColumn("missing", K.quality_missing(F.col("event"), F.col("kind"), F.col("direction"), F.col("buyer"), F.col("strong_key"), F.col("document_number"), F.col("request"), F.col("part_number"), F.col("pre_delivery"), F.col("link_only"), {k: F.col(k) for k in ("has_photo", "has_service_document")}))
     c = S.held(c, "missing")
     # several dates of which none stands with the document: perhaps another date
     loose = (F.col("event") == "new_return") & F.col("document_number").isNotNull() & F.col("document_date").isNotNull() & (F.coalesce("dates", F.lit(0)) >= 2)
@@ -152,9 +152,8 @@ def classify(letters: DataFrame, now: Column, portals: Sequence[str], extractors
     for name, value in SERVICE_STATES.items():
         state = state.when(F.col("event") == name, value)
     deadline = D.deadline(F.col("kind"), F.col("event"), F.col("received"), now)
-    urgent = X.contains_any(F.col("spoken"), ["срочно", "повторно", "крайний срок", "просроч", "горит"])
     c = c.withColumn("state", state.otherwise("needs_review")).withColumn("deadline", deadline)
-    c = c.withColumn("priority", D.priority_by_hours(D.hours_left(F.col("deadline"), now), urgent, follow))
+    c = c.withColumn("priority", D.priority_by_hours(D.hours_left(F.col("deadline"), now), said["urgent"], follow))
     return c.select("id", *FIELDS, "kind", "event", "pre_delivery", "link_only", "strong_key", "thread_key", "deadline", "priority", "missing", "problems", "confidence", "needs_ai", "ready", "state")
 
 

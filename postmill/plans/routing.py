@@ -5,7 +5,7 @@ The rules are ordered decision lists over named conditions; each list is one ``w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +45,9 @@ def decide(rules: Sequence[tuple[Column, str, str]], otherwise: tuple[str, str])
     return out.otherwise(pair(*otherwise))
 
 
-def kind_vote(text: Column, phrases: dict[str, list[str]] = KIND_PHRASES) -> Column:
-    """The kind with most phrases in the text; in a tie defect comes last and then the name decides; null without any."""
-    votes = F.array(*[F.struct((-phrase_score(text, words)).alias("less"), F.lit(int(kind == "defect")).alias("last"), F.lit(kind).alias("kind")) for kind, words in phrases.items()])
+def kind_vote(text: Column, phrases: dict[str, list[str]] = KIND_PHRASES, scores: Mapping[str, Column] | None = None) -> Column:
+    """The kind with most phrases in the text; in a tie defect comes last and then the name decides; null without any. ``scores``: of the kinds, if they are known."""
+    votes = F.array(*[F.struct((-(phrase_score(text, words) if scores is None else scores[kind])).alias("less"), F.lit(int(kind == "defect")).alias("last"), F.lit(kind).alias("kind")) for kind, words in phrases.items()])
     best = F.array_min(votes)
     return F.when(best["less"] < 0, best["kind"])
 

@@ -119,3 +119,28 @@ def test_a_pattern_passes_a_text_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan and plan.count("regexp_replace(") == len(C.TOKENS)
     assert ("year", 15, 19, "1999") in {(r.field, r.start, r.end, r.value) for r in out.collect()}
+
+
+def test_fields_of_a_text_are_those_of_its_settled_spans(spark):
+    draw = random.Random(7)
+    texts = {i: some_text(draw) for i in range(150)} | {500: None, 501: "", 502: "12" * 3000, 503: "1.2.3 " * 700, 504: "q: 1\x01 2 pc", 505: "İİ qty 7"}
+    hinted = [S.Extractor(e.field, e.kind, e.pattern, e.score, e.group, e.leading, needs=("q",) if e.pattern.startswith("(?:q") else ()) for e in RULES]
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    read = rows.select("id", S.fields_of(F.col("text"), hinted, ["n", "w"]).alias("r"))
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[0]
+    got = {r.id: {f: (r.r[f].value, r.r[f].n, r.r[f].labelled) for f in ("n", "w")} for r in read.collect()}
+    settled = S.settled(S.without_bad(S.found(rows, "id", F.col("text"), RULES)))
+    best = {r.id: r for r in S.chosen(settled, ["n", "w"]).collect()}
+    spans = settled.collect()
+    for i in texts:
+        for f in ("n", "w"):
+            mine = [s for s in spans if s.id == i and s.field == f and s.kind != S.BLOCK]
+            assert got[i][f] == (best[i][f] if i in best else None, len({s.value for s in mine}), any(s.kind == S.LABEL for s in mine))
+
+
+def test_letters_are_read_without_an_exchange(spark):
+    rows = spark.createDataFrame([(1, "Письмо", "УПД № AB1 от 01.02.2024, КОД ТОВАРА: Qw-777, HTTPS://x.y/Z", "inbound_customer", "b1", 0.9, True, None, None, None, None)], LETTER)
+    out = C.classify(rows, F.lit("2024-01-01").cast("timestamp"), [C.PORTAL])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.first()
+    assert (got.document_number, got.document_date, got.part_number) == (None, "01.02.2024", "Qw-777")
