@@ -165,7 +165,8 @@ PORTAL = "portal.example.com/nondelivery"
 def letters(spark, sf_dir) -> DataFrame:
     """A letter of each order about its first position, in one of nine shapes."""
     first = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by(F.struct("l_partkey", F.col("l_quantity").cast("int").alias("q")), F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("l"))
-    o = read(spark, sf_dir, "orders").join(first, "o_orderkey", "left")
+    # dealt out by key, as a join with a small table would leave all letters of a file in one task
+    o = read(spark, sf_dir, "orders").repartition("o_orderkey").join(first, "o_orderkey", "left")
     number, day, iso = (F.col("o_orderkey") + 100000).cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")
     part, q = F.concat(F.lit("AB-"), F.coalesce(F.col("l.l_partkey") + 1000, F.lit(999)).cast("string")), F.coalesce(F.col("l.q"), F.lit(1)).cast("string")
     say = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
